@@ -1,5 +1,7 @@
 """DuckDB SQL that states the same results over the same tables."""
 
+from lyrascope.constants import NA_TOKENS, WHITESPACE
+
 RATING_1 = "case when d.doc_id % 23 = 0 then null else 1 + d.doc_id % 5 end"
 RATING_2 = "case when d.doc_id % 29 = 0 then null else 1 + (d.doc_id + d.n_chars % 2) % 5 end"
 
@@ -142,6 +144,105 @@ self_agreement as (
   from self_kappa group by language
 )"""
 
+CORPUS = f"""
+corpus as (
+  select 'd' || d.doc_id as item_id,
+         case when quality = 0 and toxic = 1 then 'NA' when quality = 0 then null
+              when toxic = 1 then ' ' || chr(9) || chr(160)
+              else chr(8195) || ' ' || text || chr(10) || chr(9) end as translation
+  from documents d left join labels l on d.doc_id = l.doc_id
+  union all
+  select 'b' || item_id, text from benchmark
+),
+marked as (
+  select item_id, trim(valid, {' || '.join(f'chr({ord(c)})' for c in WHITESPACE)})
+           as translation
+  from (select item_id, case when translation not in ({', '.join(f"'{t}'" for t in NA_TOKENS)})
+                             then translation end as valid from corpus)
+),
+cleaned as (select * from marked where translation is not null and translation <> '')"""
+
+COLORED = """
+src as (
+  select doc_id, lang, n_chars,
+         list_filter(regexp_split_to_array(replace(text, chr(10), ' '), '\\s+'),
+                     lambda x: x <> '') as l from documents
+),
+tok as (
+  select doc_id, lang, generate_subscripts(l, 1) - 1 as pos, unnest(l) as w from src
+)"""
+
+TOPICS = """
+topic as (
+  select lang, count(*) as count, row_number() over (order by lang) - 1 as topic_id
+  from documents group by lang
+),
+tt as (
+  select doc_id, topic_id, generate_subscripts(l, 1) - 1 as pos, unnest(l) as t from (
+    select doc_id, lang,
+           list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+'), lambda x: x <> '') as l
+    from documents) join topic using (lang)
+),
+tf as (select topic_id, t, count(*) as tf from tt group by all),
+mean_words as (select sum(tf) / count(distinct topic_id) as a from tf),
+idf as (
+  select t, ln(1 + (select a from mean_words) / sum(tf)) as idf from tf group by t
+),
+kept as (
+  select topic_id, t, tf * idf as weight,
+         row_number() over (partition by topic_id order by tf * idf desc, t) as rank
+  from tf join idf using (t) qualify rank <= 200
+)"""
+
+SCORES = f"""{TOPICS},
+topic_norm as (select topic_id, sqrt(sum(weight * weight)) as norm from kept group by topic_id),
+start as (
+  select doc_id, unnest(range(greatest(max(pos) - 3, 0) + 1)) as start from tt group by doc_id
+),
+bag as (
+  select s.doc_id, s.start, tt.t, count(*) as c from start s
+  join tt on tt.doc_id = s.doc_id and tt.pos between s.start and s.start + 3 group by all
+),
+bag_norm as (
+  select doc_id, start, sqrt(sum(c * idf * c * idf)) as norm
+  from bag join idf using (t) group by doc_id, start
+),
+similarity as (
+  select b.doc_id, b.start, k.topic_id,
+         sum(b.c * i.idf * k.weight) / any_value(n.norm) / any_value(tn.norm) as similarity
+  from bag b join idf i on b.t = i.t join kept k on b.t = k.t
+  join bag_norm n on n.doc_id = b.doc_id and n.start = b.start
+  join topic_norm tn on tn.topic_id = k.topic_id
+  group by b.doc_id, b.start, k.topic_id
+),
+score as (
+  select doc_id as id, topic_id, sum(similarity) as score from similarity
+  where similarity >= 0.1 group by doc_id, topic_id
+),
+distribution as (
+  select id, topic_id, score / sum(score) over (partition by id) as prob from score
+),
+assigned as (
+  select d.doc_id as id, coalesce(b.topic_id, 0) as assigned_topic,
+         coalesce(b.prob, 0.0) as top_topic_prob, b.id is not null as has_mass
+  from documents d left join (
+    select * from distribution
+    qualify row_number() over (partition by id order by prob desc, topic_id) = 1) b
+  on d.doc_id = b.id
+),
+labelled as (
+  select a.*, case when t.lang <> 'fr' then 'topic ' || t.lang end as topic_label
+  from assigned a join topic t on a.assigned_topic = t.topic_id
+)"""
+
+NORMED = """
+normed as (
+  select vec_id, dimension, value / nullif(sum(abs(value)) over (partition by vec_id), 0)
+           as value
+  from (select vec_id, generate_subscripts(embedding, 1) - 1 as dimension,
+               cast(unnest(embedding) as double) as value from embeddings)
+)"""
+
 ORACLES = {
     "mt_word_counts": f"""{BASE}, {SONG_COUNTS}
 select language, n_correct, n_wrong, n_not_important, n_words from totals""",
@@ -254,4 +355,64 @@ select a.language, a.position, a.text_id as text_id_a, b.text_id as text_id_b,
             when a.text_id <> b.text_id then 'id_mismatch'
             when a.n_words <> b.n_words then 'length_mismatch' else 'aligned' end as outcome
 from songs a join second b on a.language = b.language and a.position = b.position""",
+    "corpus_clean": f"with {CORPUS} select item_id, translation from cleaned",
+    "corpus_dropped": f"""with {CORPUS}
+select count(*) as n_texts, count(*) filter (translation is null) as n_missing,
+       count(*) filter (translation = '') as n_blank,
+       count(*) filter (translation is null or translation = '') as n_dropped
+from marked""",
+    "subset_semi": f"""with {CORPUS}
+select item_id, cast(length(translation) as integer) as n_chars from cleaned
+where item_id in (select 'd' || doc_id from labels)""",
+    "subset_missing": f"""with {CORPUS}
+select distinct 'd' || doc_id as item_id from labels
+where 'd' || doc_id not in (select item_id from cleaned)""",
+    "content_words": f"""with {COLORED}
+select lang as language, length(w) > 3 as is_content, count(*) as n_words,
+       cast(sum(pos) as bigint) as sum_pos, cast(sum(length(w)) as bigint) as n_letters
+from tok group by all""",
+    "content_out_of_range": f"""with {COLORED}
+select lang as language, doc_id as text_id, cast(len(l) as integer) as n_words,
+       cast(len(l) as integer) as pos
+from src where n_chars % 2 = 1""",
+    "stratified_folds": """
+select doc_id, lang, cast((row_number() over (
+         partition by lang order by md5(doc_id || '|42'), doc_id) - 1) % 5 as integer) as fold
+from documents""",
+    "topic_info": """
+select row_number() over (order by lang) - 1 as topic_id, 'topic ' || lang as name, count(*) as count
+from documents group by lang qualify lang <> 'fr'""",
+    "topic_terms": f"""with {TOPICS}
+select topic_id, t as term, round(weight, 6) as weight, rank from kept""",
+    "topic_distribution": f"""with {SCORES}
+select id, topic_id, round(prob, 6) as prob from distribution""",
+    "topic_assign": f"""with {SCORES}
+select id, assigned_topic, round(top_topic_prob, 6) as top_topic_prob, has_mass, topic_label
+from labelled""",
+    "topic_summary": f"""with {SCORES}
+select id, assigned_topic, coalesce(topic_label, 'unknown') as topic_label,
+       round(top_topic_prob, 6) as top_topic_prob from labelled""",
+    "topic_wide": f"""with {SCORES}
+select l.id, assigned_topic, any_value(topic_label) as topic_label,
+       round(coalesce(sum(prob) filter (topic_id = 0), 0.0), 6) as topic_0,
+       round(coalesce(sum(prob) filter (topic_id = 1), 0.0), 6) as topic_1,
+       round(coalesce(sum(prob) filter (topic_id = 2), 0.0), 6) as topic_2,
+       round(coalesce(sum(prob) filter (topic_id = 3), 0.0), 6) as topic_3
+from labelled l left join distribution d on l.id = d.id group by l.id, assigned_topic""",
+    "topic_uniformity": f"""with {SCORES},
+observed as (
+  select t.topic_id, count(a.id) as n from topic t
+  left join assigned a on a.assigned_topic = t.topic_id group by t.topic_id
+)
+select cast(sum(n) as bigint) as n_documents, cast(count(*) as integer) as n_topics,
+       round(sum((n - e) * (n - e) / e), 6) as chi_square
+from observed, (select sum(n) / count(*) as e from observed)""",
+    "l1_normalise": f"""with {NORMED}
+select vec_id, cast(dimension as integer) as dimension, round(coalesce(value, 0.0), 6) as value
+from normed""",
+    "covariance": f"""with {NORMED}
+select cast(x.dimension as integer) as i, cast(y.dimension as integer) as j,
+       round(covar_samp(x.value, y.value) * 1e6, 6) as covariance
+from normed x join normed y on x.vec_id = y.vec_id and x.dimension <= y.dimension
+group by x.dimension, y.dimension""",
 }

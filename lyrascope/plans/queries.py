@@ -1,9 +1,10 @@
 """The registered queries: operators applied to the driver tables."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrascope.operators import agreement, quality, repeats
+from lyrascope.operators import agreement, corpus, quality, reduction, repeats, topics, tuning
 from lyrascope.plans import standins
 from lyrascope.session import materialise
 
@@ -166,6 +167,171 @@ def song_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.alignment_outcomes(zipped, repeats.find_repeats(keys))
 
 
+# Corpora
+
+
+def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.clean_corpus(corpus.select_corpus(standins.corpus(spark, sf_dir)))
+
+
+def corpus_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.dropped_texts(standins.corpus(spark, sf_dir))
+
+
+def subset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.in_subset(corpus_clean(spark, sf_dir), standins.id_list(spark, sf_dir)).select(
+        "item_id", F.length("translation").alias("n_chars")
+    )
+
+
+def subset_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.missing_from_corpus(
+        corpus_clean(spark, sf_dir), standins.id_list(spark, sf_dir)
+    )
+
+
+def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = corpus.content_words(standins.source_texts(spark, sf_dir))
+    return words.groupBy("language", "is_content").agg(
+        F.count("*").alias("n_words"),
+        F.sum("pos").alias("sum_pos"),
+        F.sum(F.length("word").cast("long")).alias("n_letters"),
+    )
+
+
+def content_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.out_of_range(standins.source_texts(spark, sf_dir))
+
+
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = standins.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return corpus.stratified_folds(docs, "doc_id", "lang")
+
+
+# Topics
+
+
+def _fitted(spark, sf_dir):
+    info = standins.topics(spark, sf_dir)
+    docs = standins.topic_documents(spark, sf_dir, info)
+    return info, docs, topics.fit_topics(docs)
+
+
+def _scores(spark, sf_dir):
+    info, docs, model = _fitted(spark, sf_dir)
+    return info, model, topics.topic_scores(docs.select("id", "text"), model)
+
+
+def topic_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = standins.named_topics(standins.topics(spark, sf_dir))
+    return topics.regular_topics(info)
+
+
+def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_fitted(spark, sf_dir)[2].terms)
+
+
+def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(topics.topic_distribution(_scores(spark, sf_dir)[2]))
+
+
+def topic_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, model, scores = _scores(spark, sf_dir)
+    assigned = topics.assign_topics(scores)
+    names = standins.named_topics(info)
+    return rounded(topics.label_topics(assigned, names, model.n_topics))
+
+
+def topic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, model, scores = _scores(spark, sf_dir)
+    names = standins.named_topics(info)
+    labelled = topics.label_topics(topics.assign_topics(scores), names, model.n_topics)
+    return rounded(topics.topic_summary(labelled))
+
+
+def topic_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info, model, scores = _scores(spark, sf_dir)
+    scores = materialise(scores)
+    names = standins.named_topics(info)
+    labelled = topics.label_topics(topics.assign_topics(scores), names, model.n_topics)
+    ids = [r["topic_id"] for r in info.select("topic_id").orderBy("topic_id").collect()]
+    return rounded(
+        topics.wide_distribution(labelled, topics.topic_distribution(scores), ids)
+    )
+
+
+def topic_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model, scores = _scores(spark, sf_dir)
+    return rounded(topics.uniformity(topics.assign_topics(scores), model.n_topics))
+
+
+# Reduction
+
+
+def _normed(spark, sf_dir) -> DataFrame:
+    return reduction.l1_normalise(standins.vectors(spark, sf_dir)).drop("features")
+
+
+def l1_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(
+        _normed(spark, sf_dir).select(
+            "vec_id", F.posexplode(vector_to_array("normed")).alias("dimension", "value")
+        )
+    )
+
+
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Covariances of normalised rows are near 1e-4, so they keep more decimals.
+    return reduction.covariance(_normed(spark, sf_dir)).withColumn(
+        "covariance", F.round(F.col("covariance") * 1e6, 6)
+    )
+
+
+def pca_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = reduction.fit_reduction(_normed(spark, sf_dir))
+    return rounded(reduction.variance_report(spark, fitted))
+
+
+def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normed(spark, sf_dir)
+    fitted = reduction.fit_reduction(rows)
+    return reduction.features_to_wide(
+        fitted.transform(rows), "components", "pc", fitted.n_components
+    )
+
+
+def pca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normed(spark, sf_dir)
+    fitted = reduction.fit_reduction(rows, whiten=True)
+    return reduction.features_to_wide(
+        fitted.transform(rows), "components", "pc", fitted.n_components
+    )
+
+
+# Topic-number tuning
+
+
+def _tuning_corpus(spark, sf_dir) -> tuning.Corpus:
+    return tuning.prepare_corpus(
+        standins.documents(spark, sf_dir), text_col="text", id_col="doc_id", label_col="lang"
+    )
+
+
+def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tuning.tune_topics(spark, _tuning_corpus(spark, sf_dir), [2, 4], max_iter=5)
+    return tuning.mean_perplexity(grid)
+
+
+def lda_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.run_models(spark, _tuning_corpus(spark, sf_dir), 4, 3, max_iter=5).record
+
+
+def model_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tuning_corpus(spark, sf_dir)
+    runs = tuning.run_models(spark, rows, 4, 2, max_iter=5)
+    return tuning.model_similarity(runs, rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -187,5 +353,27 @@ QUERIES = {
         kappa_self,
         iaa_report,
         song_alignment,
+        corpus_clean,
+        corpus_dropped,
+        subset_semi,
+        subset_missing,
+        content_words,
+        content_out_of_range,
+        stratified_folds,
+        topic_info,
+        topic_terms,
+        topic_distribution,
+        topic_assign,
+        topic_summary,
+        topic_wide,
+        topic_uniformity,
+        l1_normalise,
+        covariance,
+        pca_report,
+        pca_reduce,
+        pca_whiten,
+        lda_grid,
+        lda_runs,
+        model_similarity,
     )
 }

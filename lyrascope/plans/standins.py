@@ -5,12 +5,13 @@ The annotation exports are not published, so ratings and word labels are derived
 ``doc_id`` identify it, and songs of equal text within a language are repeats.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyrascope.functions.scalars import plain_words, text_key
+from lyrascope.functions.scalars import plain_words, source_words, text_key
+from lyrascope.operators.corpus import stack
 from lyrascope.operators.skew import id_buckets, number_rows
-from lyrascope.session import materialise, spread
+from lyrascope.session import broadcast_if_small, materialise, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +119,93 @@ def number_songs(songs: DataFrame) -> DataFrame:
     return number_rows(
         songs, ["language"], id_buckets("text_id"), [F.col("text_id")], "position"
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus stacked from two tables: item_id, translation, with missing and blank texts.
+
+    Labelled documents of low quality have no translation, toxic ones a blank text, and
+    those that are both the text NA.
+    """
+    answers = table(spark, sf_dir, "labels")
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    translation = (
+        F.when(low & toxic, "NA")
+        .when(low, F.lit(None))
+        .when(toxic, " \t\u00a0")
+        .otherwise(F.concat(F.lit("\u2003 "), F.col("text"), F.lit("\n\t")))
+    )
+    translated = documents(spark, sf_dir).join(answers, "doc_id", "left").select(
+        F.concat(F.lit("d"), "doc_id").alias("item_id"), translation.alias("translation")
+    )
+    reviewed = table(spark, sf_dir, "benchmark").select(
+        F.col("text").alias("translation"), F.concat(F.lit("b"), "item_id").alias("item_id")
+    )
+    return stack([translated, reviewed])
+
+
+def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published ids: the labelled documents."""
+    return table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("d"), "doc_id").alias("item_id")
+    )
+
+
+def source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source texts with line tags; words annotator 1 finds important are coloured.
+
+    Texts with an odd number of characters also colour a position beyond their end.
+    """
+    docs = documents(spark, sf_dir)
+    original = F.replace(docs["text"], F.lit("\n"), F.lit("<br>"))
+    words = docs.select("doc_id", "lang", "n_chars", source_words(original).alias("words"))
+
+    def important(word, pos):
+        return F.when(status_of(1, F.col("doc_id"), pos, word) != "not_important", pos)
+
+    colored = F.array_compact(F.transform("words", important))
+    beyond = F.when(F.col("n_chars") % 2 == 1, F.array(F.size("words"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return words.select(
+        F.col("lang").alias("language"),
+        F.col("doc_id").alias("text_id"),
+        "words",
+        F.concat(colored, beyond).alias("colored"),
+    )
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic per language: topic_id from 0 in alphabetical order, name, count."""
+    sizes = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("count"))
+    # As many rows as there are languages.
+    return materialise(
+        sizes.select(
+            "lang",
+            (F.row_number().over(Window.orderBy("lang")) - 1).alias("topic_id"),
+            F.concat(F.lit("topic "), F.col("lang")).alias("name"),
+            "count",
+        )
+    )
+
+
+def named_topics(topics: DataFrame) -> DataFrame:
+    """Topic info in which the French topic has no name."""
+    return topics.filter(F.col("lang") != "fr").select("topic_id", "name", "count")
+
+
+def topic_documents(spark: SparkSession, sf_dir: str, topics: DataFrame) -> DataFrame:
+    """Documents with the topic they belong to: id, topic_id, text."""
+    groups = broadcast_if_small(topics.select("lang", "topic_id"), topics.count())
+    return (
+        documents(spark, sf_dir)
+        .join(groups, "lang")
+        .select(F.col("doc_id").alias("id"), "topic_id", "text")
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows: vec_id, label, features."""
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").alias("features")
+    )
