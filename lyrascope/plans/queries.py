@@ -275,7 +275,7 @@ def _normed(spark, sf_dir) -> DataFrame:
 def l1_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         _normed(spark, sf_dir).select(
-            "vec_id", F.posexplode(vector_to_array("normed")).alias("dimension", "value")
+            "vec_id", F.posexplode_outer(vector_to_array("normed")).alias("dimension", "value")
         )
     )
 
