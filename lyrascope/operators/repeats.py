@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrascope.operators.skew import HEAVY_ROWS, salted_join
+from lyrascope.session import materialise
 
 
 def repeat_table(spark: SparkSession, repeats: Mapping[str, Sequence[int]]) -> DataFrame:
@@ -18,11 +19,11 @@ def find_repeats(songs: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Songs of equal text within a language, paired with the lowest id among them.
 
     Input: language, text_id, text_key.  Groups are counted before any shuffle and only
-    those with copies are joined back.
+    those with copies, written once, are joined back.
     """
     keys = ["language", "text_key"]
     rows = songs.select(*keys, "text_id")
-    copied = (
+    copied = materialise(
         rows.groupBy(*keys)
         .agg(F.min("text_id").alias("keep_id"), F.count("*").alias("n"))
         .filter(F.col("n") > 1)

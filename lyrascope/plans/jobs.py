@@ -1,8 +1,10 @@
 """Whole jobs from input files to output files."""
 
+import logging
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lyrascope.constants import (
     LANGUAGES,
@@ -20,6 +22,8 @@ from lyrascope.sinks import features as feature_sinks
 from lyrascope.sinks import reports
 from lyrascope.sources import annotations, corpora
 
+log = logging.getLogger(__name__)
+
 
 def evaluate_translations(
     spark: SparkSession,
@@ -79,8 +83,15 @@ def infer_topics(
     ``training`` holds the grouped texts (topic_id, text) the topics are learnt from and
     ``info`` their names (topic_id, name, count).
     """
-    texts = corpus.clean_corpus(corpora.read_corpus(spark, path, id_col, text_col), text_col)
-    docs = texts.select(texts[id_col].alias("id"), texts[text_col].alias("text"))
+    totals = Observation()
+    texts = corpus.clean_corpus(
+        corpora.read_corpus(spark, path, id_col, text_col), text_col, totals
+    )
+    # Written once, so that the files are parsed a single time and the totals are exact.
+    docs = materialise(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    log.info("%d texts loaded", totals.get["n_texts"])
+    if totals.get["n_dropped"]:
+        log.warning("%d texts dropped as empty", totals.get["n_dropped"])
     model = topics.fit_topics(training)
     scores = materialise(topics.topic_scores(docs, model, **window))
     ids = [

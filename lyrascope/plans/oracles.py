@@ -134,6 +134,11 @@ KAPPA_SELF = kappa_ctes(
        where s.text_id <> s.keep_id""",
     "language, keep_id, dup_id",
 )
+KAPPA_ALL_WORDS = kappa_ctes(
+    "word",
+    "select language, text_id, status_1 as a, status_2 as b from words",
+    "language, text_id",
+)
 IMPORTANT_KAPPA = "case when n_agree = n_pairs then 1.0 else kappa end"
 
 SELF_AGREEMENT = """
@@ -355,6 +360,15 @@ select a.language, a.position, a.text_id as text_id_a, b.text_id as text_id_b,
             when a.text_id <> b.text_id then 'id_mismatch'
             when a.n_words <> b.n_words then 'length_mismatch' else 'aligned' end as outcome
 from songs a join second b on a.language = b.language and a.position = b.position""",
+    "songs_in_common": f"""{BASE}, {KAPPA_ALL_WORDS}
+select s.language, s.text_id, rating_1 as overall_rating_a, rating_2 as overall_rating_b,
+       round(k.kappa, 6) as kappa_words
+from songs s left join word_kappa k on s.text_id = k.text_id
+where s.text_id in (select doc_id from labels)""",
+    "word_statuses": f"""with {WORDS}
+select language, '1' as annotator, status_1 as status, count(*) as n_words,
+       cast(sum(pos) as bigint) as sum_pos, cast(sum(length(word)) as bigint) as n_letters
+from words group by language, status_1""",
     "corpus_clean": f"with {CORPUS} select item_id, translation from cleaned",
     "corpus_dropped": f"""with {CORPUS}
 select count(*) as n_texts, count(*) filter (translation is null) as n_missing,
@@ -407,6 +421,17 @@ observed as (
 select cast(sum(n) as bigint) as n_documents, cast(count(*) as integer) as n_topics,
        round(sum((n - e) * (n - e) / e), 6) as chi_square
 from observed, (select sum(n) / count(*) as e from observed)""",
+    "topic_label_similarity": f"""with {SCORES},
+vec as (
+  select source as label, topic_id, sum(prob) as weight
+  from distribution x join documents d on x.id = d.doc_id group by all
+),
+norm as (select label, sqrt(sum(weight * weight)) as norm from vec group by label)
+select a.label as label_a, b.label as label_b,
+       round(sum(a.weight * b.weight) / any_value(m.norm) / any_value(n.norm), 6) as similarity
+from vec a join vec b on a.topic_id = b.topic_id and a.label < b.label
+join norm m on m.label = a.label join norm n on n.label = b.label
+group by a.label, b.label""",
     "l1_normalise": f"""with {NORMED}
 select vec_id, cast(dimension as integer) as dimension, round(coalesce(value, 0.0), 6) as value
 from normed""",

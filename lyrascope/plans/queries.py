@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lyrascope.operators import agreement, corpus, quality, reduction, repeats, topics, tuning
 from lyrascope.plans import standins
 from lyrascope.session import materialise
+from lyrascope.sources import annotations
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -167,6 +168,38 @@ def song_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.alignment_outcomes(zipped, repeats.find_repeats(keys))
 
 
+def songs_in_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs both annotators rated; annotator 2 rated only those found in ``labels``."""
+    rated = standins.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("text_id"))
+    first, second = (
+        standins.songs(spark, sf_dir, annotator).withColumn(
+            "hallucination", F.lit(None).cast("string")
+        )
+        for annotator in (1, 2)
+    )
+    common = agreement.join_songs(first, second.join(rated, "text_id", "left_semi"))
+    measured = agreement.song_agreement(common)
+    return rounded(
+        measured.select(
+            "language", "text_id", "overall_rating_a", "overall_rating_b", "kappa_words"
+        )
+    )
+
+
+def word_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word table summed up per language and status."""
+    songs = standins.songs(spark, sf_dir).withColumn("annotator", F.lit("1"))
+    return (
+        annotations.explode_words(songs)
+        .groupBy("language", "annotator", "status")
+        .agg(
+            F.count("*").alias("n_words"),
+            F.sum("pos").alias("sum_pos"),
+            F.sum(F.length("word").cast("long")).alias("n_letters"),
+        )
+    )
+
+
 # Corpora
 
 
@@ -228,7 +261,8 @@ def topic_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_fitted(spark, sf_dir)[2].terms)
+    docs = standins.topic_documents(spark, sf_dir, standins.topics(spark, sf_dir))
+    return rounded(topics.weigh_terms(docs).kept)
 
 
 def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +299,18 @@ def topic_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topics.uniformity(topics.assign_topics(scores), model.n_topics))
 
 
+def topic_label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of the topic distributions of the document sources."""
+    distribution = topics.topic_distribution(_scores(spark, sf_dir)[2])
+    sources = standins.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("label")
+    )
+    weights = distribution.join(sources, "id").select(
+        "label", "topic_id", F.col("prob").alias("weight")
+    )
+    return rounded(topics.label_similarity(weights))
+
+
 # Reduction
 
 
@@ -353,6 +399,8 @@ QUERIES = {
         kappa_self,
         iaa_report,
         song_alignment,
+        songs_in_common,
+        word_statuses,
         corpus_clean,
         corpus_dropped,
         subset_semi,
@@ -367,6 +415,7 @@ QUERIES = {
         topic_summary,
         topic_wide,
         topic_uniformity,
+        topic_label_similarity,
         l1_normalise,
         covariance,
         pca_report,

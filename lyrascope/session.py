@@ -1,6 +1,8 @@
 """Session helpers: building, lineage cuts, input spreading and guarded broadcasts."""
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,27 +31,32 @@ def build_session(app: str, cpus: str | int = "*", memory: str = "8g", **conf) -
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only a local session gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lyrascope-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local session gets its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="lyrascope-checkpoint-")
-    sc.setCheckpointDir(shared)
+        shared = _local_folder()
+    return shared
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a (narrow) intermediate table to the shared folder and continue from there.
 
     Used where several branches read the same expensive result: the texts are then
-    scanned once, and a lost executor costs no recomputation.
+    scanned once, a lost executor costs no recomputation, and later reads are columnar
+    and have a known size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lyrascope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
