@@ -28,8 +28,8 @@ def _kept_counts(spark, sf_dir) -> DataFrame:
     return repeats.keep_first_copy(_song_counts(spark, sf_dir), quality.COUNTS)
 
 
-def _report_rows(spark, sf_dir) -> DataFrame:
-    counts = standins.add_answers(spark, sf_dir, _song_counts(spark, sf_dir))
+def _report_rows(spark, sf_dir, counts) -> DataFrame:
+    counts = standins.add_answers(spark, sf_dir, counts)
     return quality.first_copies(counts.withColumnRenamed("hallucination_a", "hallucination"))
 
 
@@ -63,7 +63,7 @@ def mt_mean_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mt_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.hallucinations(_report_rows(spark, sf_dir))
+    return quality.hallucinations(_report_rows(spark, sf_dir, _song_counts(spark, sf_dir)))
 
 
 def mt_unusual_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +72,16 @@ def mt_unusual_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.unusual_distribution(kept)
 
 
-def _self_kappas(spark, sf_dir) -> DataFrame:
-    copies = repeats.find_repeats(standins.song_keys(spark, sf_dir))
-    return agreement.self_agreement(
-        agreement.statuses(standins.songs(spark, sf_dir)), copies
-    )
+def _self_kappas(spark, sf_dir, keys) -> DataFrame:
+    songs = agreement.statuses(standins.songs(spark, sf_dir))
+    return agreement.self_agreement(songs, repeats.find_repeats(keys))
 
 
 def mt_language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_language = agreement.self_agreement_by_language(_self_kappas(spark, sf_dir))
-    return rounded(quality.language_report(_report_rows(spark, sf_dir), by_language))
+    # The counted songs, which are narrow, serve the report and the search for repeats.
+    counts = materialise(_song_counts(spark, sf_dir))
+    by_language = agreement.self_agreement_by_language(_self_kappas(spark, sf_dir, counts))
+    return rounded(quality.language_report(_report_rows(spark, sf_dir, counts), by_language))
 
 
 def repeated_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def accuracy_important_song(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kappa_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_self_kappas(spark, sf_dir))
+    return rounded(_self_kappas(spark, sf_dir, standins.song_keys(spark, sf_dir)))
 
 
 def iaa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
