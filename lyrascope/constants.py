@@ -19,10 +19,7 @@ RATING_OFFSETS = {"cs": -0.03, "et": 0.0, "ko": 0.06, "nl": 0.06, "uk": 0.03}
 CORRECT = "correct"
 WRONG = "wrong"
 NOT_IMPORTANT = "not_important"
-IMPORTANT = [CORRECT, WRONG]
-
-# Levels of unusual language.
-UNUSUAL_LEVELS = ["none", "barely", "significantly"]
+STATUSES = [CORRECT, WRONG, NOT_IMPORTANT]
 
 # Texts a CSV reader of the pandas family takes for a missing value.
 NA_TOKENS = [

@@ -59,7 +59,8 @@ def evaluate_agreement(
     """Agreement report of two annotation exports per language."""
     first, second = annotations.read_pairs(spark, root, pairs)
     aligned = agreement.align_songs(first, second, repeats.repeat_table(spark, repeated))
-    measured = materialise(agreement.song_agreement(aligned))
+    aligned = materialise(aligned)
+    measured = materialise(agreement.song_agreement(aligned, agreement.labels_of(aligned)))
     report = agreement.agreement_report(materialise(agreement.agreement_cube(measured)))
     names = annotations.pair_table(spark, pairs)
     reports.write_agreement_report(

@@ -20,17 +20,28 @@ def rounded(df: DataFrame) -> DataFrame:
 # Translation quality
 
 
-def _song_counts(spark, sf_dir) -> DataFrame:
-    return quality.song_word_counts(standins.songs(spark, sf_dir))
+SONG = ["language", "text_id", "text_key"]
+
+
+def _song_counts(spark, sf_dir, *more) -> DataFrame:
+    """Label counts of every song by annotator 1."""
+    keys = [*SONG, *more]
+    words = standins.words(spark, sf_dir, keys).withColumnRenamed("a", "status")
+    return quality.count_word_labels(words, keys)
 
 
 def _kept_counts(spark, sf_dir) -> DataFrame:
     return repeats.keep_first_copy(_song_counts(spark, sf_dir), quality.COUNTS)
 
 
+REPORTED = ["overall_rating_a", "unusual_language"]
+
+
 def _report_rows(spark, sf_dir, counts) -> DataFrame:
-    counts = standins.add_answers(spark, sf_dir, counts)
-    return quality.first_copies(counts.withColumnRenamed("hallucination_a", "hallucination"))
+    answered = standins.add_answers(spark, sf_dir, counts).withColumnsRenamed(
+        {"hallucination_a": "hallucination", "overall_rating_a": "overall_rating"}
+    )
+    return quality.first_copies(answered)
 
 
 def mt_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +63,10 @@ STANDIN_OFFSETS = {"de": -0.03, "en": 0.06, "es": 0.03}
 
 
 def mt_song_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = repeats.keep_first_copy(
-        _song_counts(spark, sf_dir), [*quality.COUNTS, "overall_rating"]
+    counts = _song_counts(spark, sf_dir, "overall_rating_a").withColumnRenamed(
+        "overall_rating_a", "overall_rating"
     )
+    counts = repeats.keep_first_copy(counts, [*quality.COUNTS, "overall_rating"])
     return rounded(quality.song_points(counts, STANDIN_OFFSETS))
 
 
@@ -63,7 +75,12 @@ def mt_mean_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mt_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.hallucinations(_report_rows(spark, sf_dir, _song_counts(spark, sf_dir)))
+    songs = standins.songs(spark, sf_dir).select(*SONG)
+    answered = standins.add_answers(spark, sf_dir, songs).withColumnRenamed(
+        "hallucination_a", "hallucination"
+    )
+    rows = repeats.keep_first_copy(answered, ["hallucination"], {"n_songs": F.count("*")})
+    return quality.hallucinations(rows.withColumn("kept", F.lit(True)))
 
 
 def mt_unusual_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +96,7 @@ def _self_kappas(spark, sf_dir, keys) -> DataFrame:
 
 def mt_language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The counted songs, which are narrow, serve the report and the search for repeats.
-    counts = materialise(_song_counts(spark, sf_dir))
+    counts = materialise(_song_counts(spark, sf_dir, *REPORTED))
     by_language = agreement.self_agreement_by_language(_self_kappas(spark, sf_dir, counts))
     return rounded(quality.language_report(_report_rows(spark, sf_dir, counts), by_language))
 
@@ -99,23 +116,19 @@ def repeat_rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kappa_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = ["overall_rating_a", "overall_rating_b"]
-    pairs = repeats.keep_first_copy(standins.aligned_songs(spark, sf_dir), sides)
-    return rounded(
-        agreement.grouped_kappa(pairs, ["language"], *sides)
-    )
+    pairs = repeats.keep_first_copy(standins.ratings(spark, sf_dir), sides)
+    return rounded(agreement.grouped_kappa(pairs, ["language"], *sides))
 
 
 def kappa_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = ["hallucination_a", "hallucination_b"]
-    songs = standins.aligned_songs(spark, sf_dir).select("language", "text_id", "text_key")
+    songs = standins.ratings(spark, sf_dir).select(*SONG)
     pairs = repeats.keep_first_copy(standins.add_answers(spark, sf_dir, songs), sides)
-    return rounded(
-        agreement.grouped_kappa(pairs, ["language"], *sides)
-    )
+    return rounded(agreement.grouped_kappa(pairs, ["language"], *sides))
 
 
 def _song_measures(spark, sf_dir) -> DataFrame:
-    measured = agreement.song_agreement(standins.aligned_songs(spark, sf_dir))
+    measured = agreement.word_agreement(standins.words(spark, sf_dir, SONG), SONG)
     return repeats.keep_first_copy(measured, agreement.SONG_MEASURES)
 
 
@@ -140,7 +153,8 @@ def kappa_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iaa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = agreement.song_agreement(standins.aligned_songs(spark, sf_dir))
+    keys = [*SONG, "overall_rating_a", "overall_rating_b"]
+    measured = agreement.word_agreement(standins.words(spark, sf_dir, keys), keys)
     measured = standins.add_answers(spark, sf_dir, measured)
     kept = repeats.keep_first_copy(
         measured,
@@ -189,6 +203,7 @@ def songs_in_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word table summed up per language and status."""
     songs = standins.songs(spark, sf_dir).withColumn("annotator", F.lit("1"))
+    # From the nested words, as an export has them.
     return (
         annotations.explode_words(songs)
         .groupBy("language", "annotator", "status")

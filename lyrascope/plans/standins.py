@@ -5,6 +5,8 @@ The annotation exports are not published, so ratings and word labels are derived
 ``doc_id`` identify it, and songs of equal text within a language are repeats.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,45 +48,52 @@ def _unusual() -> Column:
     return F.when(doc % 31 != 0, level)
 
 
-def songs(spark: SparkSession, sf_dir: str, annotator: int = 1) -> DataFrame:
-    """Songs of one annotator."""
-    docs = documents(spark, sf_dir).withColumns(
-        {"tokens": plain_words(F.col("text")), "text_key": text_key(F.col("text"))}
+def _song_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as songs: ids, ratings of both annotators, and the words as ``tokens``."""
+    return documents(spark, sf_dir).select(
+        F.col("lang").alias("language"),
+        F.col("doc_id").alias("text_id"),
+        text_key(F.col("text")).alias("text_key"),
+        _rating(1).alias("overall_rating_a"),
+        _rating(2).alias("overall_rating_b"),
+        _unusual().alias("unusual_language"),
+        plain_words(F.col("text")).alias("tokens"),
     )
+
+
+def songs(spark: SparkSession, sf_dir: str, annotator: int = 1) -> DataFrame:
+    """Songs of one annotator, with their words nested."""
     words = F.transform(
         "tokens",
         lambda w, i: F.struct(
-            w.alias("word"), status_of(annotator, F.col("doc_id"), i, w).alias("status")
+            w.alias("word"), status_of(annotator, F.col("text_id"), i, w).alias("status")
         ),
     )
-    return docs.select(
-        F.col("lang").alias("language"),
-        F.col("doc_id").alias("text_id"),
+    rating = "overall_rating_a" if annotator == 1 else "overall_rating_b"
+    return _song_columns(spark, sf_dir).select(
+        "language",
+        "text_id",
         "text_key",
-        _rating(annotator).alias("overall_rating"),
-        _unusual().alias("unusual_language"),
+        F.col(rating).alias("overall_rating"),
+        "unusual_language",
         words.alias("words"),
     )
 
 
-def aligned_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Songs with the ratings and word labels of both annotators in one row."""
-    docs = documents(spark, sf_dir).withColumns(
-        {"tokens": plain_words(F.col("text")), "text_key": text_key(F.col("text"))}
+def words(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+    """Word table: key columns of the song, pos, word, and the labels of both annotators."""
+    exploded = _song_columns(spark, sf_dir).select(
+        *dict.fromkeys([*keys, "text_id"]), F.posexplode_outer("tokens").alias("pos", "word")
     )
+    place = (F.col("text_id"), F.col("pos"), F.col("word"))
+    # A song without words keeps a row, in which nothing is labelled.
+    label = [F.when(F.col("pos").isNotNull(), status_of(n, *place)) for n in (1, 2)]
+    return exploded.select(*keys, "pos", "word", label[0].alias("a"), label[1].alias("b"))
 
-    def labels(annotator):
-        return F.transform("tokens", lambda w, i: status_of(annotator, F.col("doc_id"), i, w))
 
-    return docs.select(
-        F.col("lang").alias("language"),
-        F.col("doc_id").alias("text_id"),
-        "text_key",
-        _rating(1).alias("overall_rating_a"),
-        _rating(2).alias("overall_rating_b"),
-        labels(1).alias("statuses_a"),
-        labels(2).alias("statuses_b"),
-    )
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs with the ratings of both annotators, without their words."""
+    return _song_columns(spark, sf_dir).drop("tokens")
 
 
 def song_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
