@@ -60,3 +60,25 @@ NUM_MODELS = 100
 FOLDS = 5
 OUTLIER_TOPIC = -1
 UNKNOWN_TOPIC = "unknown"
+
+# Text reports: title, the lines of a block in order, and one line per level.
+QUALITY_TITLE = "Machine Translation Evaluation Results"
+QUALITY_LINES = {
+    "language": "Language: %s",
+    "mean_rating": "  Mean overall rating: %.2f",
+    "mean_correctness": "  Mean correctness: %.2f",
+    "mean_importance": "  Mean importance: %.2f",
+    "n_words": "  Total words evaluated: %d",
+    "self_agreement": "  Self-agreement of annotator: %.2f",
+    "hallucinations": "  Hallucinations: %s",
+    "unusual_language": "  Unusual language distribution:",
+}
+LEVEL_LINE = "    %s: %d"
+HALLUCINATIONS = "%d out of %d songs"
+AGREEMENT_LINES = {
+    "kappa_rating": "Cohen's kappa for overallRating: %.4f",
+    "kappa_hallucination": "Cohen's kappa for hallucination: %.4f",
+    "mean_kappa_words": "Mean Cohen's kappa for word-level labels: %.4f",
+    "mean_accuracy_important": "Mean accuracy for important word-level labels: %.4f",
+    "mean_kappa_important": "Mean Cohen's kappa for important word-level labels: %.4f",
+}
