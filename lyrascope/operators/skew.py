@@ -55,36 +55,51 @@ def number_rows(
     ``buckets`` cut a group into consecutive ranges of ``order``, coarse ones first.  Rows
     are numbered inside the finest range; the sizes of the ranges before it are added.
     """
-    group = list(group)
     cut = [f"_b{i}" for i in range(len(buckets))]
-    df = df.select("*", *[b.alias(c) for b, c in zip(buckets, cut)])
-    sizes = df.groupBy(*group, *cut).agg(F.count("*").alias("_size"))
+    df = df.select("*", F.struct(*group).alias("_group"), *[b.alias(c) for b, c in zip(buckets, cut)])
+    sizes = df.groupBy("_group", *cut).agg(F.count("*").alias("_size"))
     before = None
     for depth in range(len(cut)):
-        level = group + cut[: depth + 1]
-        count = sizes.groupBy(*level).agg(F.sum("_size").alias("_size"))
+        outer = _range_key(cut[:depth])
         running = (
-            Window.partitionBy(*group, *cut[:depth])
+            Window.partitionBy("_outer")
             .orderBy(cut[depth])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        step = count.select(
-            *level, F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before")
+        step = (
+            sizes.groupBy("_group", *cut[: depth + 1])
+            .agg(F.sum("_size").alias("_size"))
+            .select(
+                outer.alias("_outer"),
+                _range_key(cut[: depth + 1]).alias("_range"),
+                cut[depth],
+                "_size",
+            )
+            .withColumn("_before", F.coalesce(F.sum("_size").over(running), F.lit(0)))
         )
         if before is not None:
-            step = step.join(before.withColumnRenamed("_before", "_outer"), level[:-1]).select(
-                *level, (F.col("_before") + F.col("_outer")).alias("_before")
+            coarse = before.select(
+                F.col("_range").alias("_outer"), F.col("_before").alias("_earlier")
+            )
+            step = step.join(coarse, "_outer").withColumn(
+                "_before", F.col("_before") + F.col("_earlier")
             )
-        before = step
-    inside = Window.partitionBy(*group, *cut).orderBy(*order)
+        before = step.select("_range", "_before")
+    inside = Window.partitionBy("_range").orderBy(*order)
     return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(before, group + cut)
+        df.withColumn("_range", _range_key(cut))
+        .withColumn("_inside", F.row_number().over(inside))
+        .join(before, "_range")
         .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_inside", "_before", *cut)
+        .drop("_inside", "_before", "_range", "_group", *cut)
     )
 
 
+def _range_key(cut: Sequence[str]) -> Column:
+    """Group and ranges as one struct: unlike bare columns, its NULL fields match in a join."""
+    return F.struct("_group", *cut)
+
+
 def id_buckets(column: str) -> list[Column]:
     """Ranges of a bigint id, at most 2^22 by 2^21 per group and 2^21 ids in each."""
     return [F.shiftright(column, 42), F.shiftright(column, 21)]
