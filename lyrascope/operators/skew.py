@@ -56,7 +56,8 @@ def number_rows(
     are numbered inside the finest range; the sizes of the ranges before it are added.
     """
     cut = [f"_b{i}" for i in range(len(buckets))]
-    df = df.select("*", F.struct(*group).alias("_group"), *[b.alias(c) for b, c in zip(buckets, cut)])
+    ranges = [bucket.alias(c) for bucket, c in zip(buckets, cut)]
+    df = df.select("*", F.struct(*group).alias("_group"), *ranges)
     sizes = df.groupBy("_group", *cut).agg(F.count("*").alias("_size"))
     before = None
     for depth in range(len(cut)):

@@ -394,7 +394,8 @@ select doc_id, lang, cast((row_number() over (
          partition by lang order by md5(doc_id || '|42'), doc_id) - 1) % 5 as integer) as fold
 from documents""",
     "topic_info": """
-select row_number() over (order by lang) - 1 as topic_id, 'topic ' || lang as name, count(*) as count
+select row_number() over (order by lang) - 1 as topic_id, 'topic ' || lang as name,
+       count(*) as count
 from documents group by lang qualify lang <> 'fr'""",
     "topic_terms": f"""with {TOPICS}
 select topic_id, t as term, round(weight, 6) as weight, rank from kept""",

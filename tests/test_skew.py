@@ -32,8 +32,8 @@ def test_salted_join_equals_plain_join(spark, heavy_rows):
 def test_number_rows_across_buckets(spark):
     rng = random.Random(2)
     groups = ["a", "b", None]
-    rows = [(rng.choice(groups), rng.randint(-(2**62), 2**62) >> rng.choice([0, 30, 50])) for _ in range(500)]
-    rows = list(set(rows))
+    ids = [rng.randint(-(2**62), 2**62) >> rng.choice([0, 30, 50]) for _ in range(500)]
+    rows = list({(rng.choice(groups), i) for i in ids})
     df = spark.createDataFrame(rows, "g string, id long")
     numbered = number_rows(df, ["g"], id_buckets("id"), [F.col("id")], "n")
     got = {(r.g, r.id): r.n for r in numbered.collect()}
