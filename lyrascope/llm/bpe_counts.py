@@ -19,6 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lyrascope.llm.shared import map_arrow
 from lyrascope.llm.text import Words, encode, flat, map_chunks, sums
 
 MODEL = "piece_bpe_32k.model"
@@ -149,8 +150,8 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
             ["doc_id", "n_bytes", "n_tokens"],
         )
 
-    return (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(map_chunks(count), "doc_id long, n_bytes long, n_tokens long")
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long"), "text"),
+        map_chunks(count),
+        "doc_id long, n_bytes long, n_tokens long",
+    ).withColumn("over_limit", F.col("n_tokens") > limit)

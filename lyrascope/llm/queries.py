@@ -2,17 +2,28 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyrascope.llm import bpe_counts
+from lyrascope.llm import bit_packing, bpe_counts, weak_rules
+from lyrascope.llm.shared import new_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(documents(spark, sf_dir))
+
+
+def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    bit_packing.write_ids(documents(spark, sf_dir), path)
+    return bit_packing.read_digests(spark.read.parquet(path))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op10_token_counts,)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_bit_packing, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}

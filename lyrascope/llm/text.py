@@ -80,18 +80,19 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def runs(offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True in ``inside`` that lie within one text."""
-    before = np.zeros(len(inside) + 1, bool)
-    before[1:] = inside
-    before[offsets] = False
-    after = np.zeros(len(inside) + 1, bool)
-    after[:-1] = inside
-    after[offsets] = False
-    return (
-        np.flatnonzero(inside & ~before[:-1]),
-        np.flatnonzero(inside & ~after[1:]) + 1,
-    )
+def runs(
+    offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, cut: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True in ``inside`` that lie within one text.
+
+    ``cut`` has by two bytes whether a run is cut between them.
+    """
+    apart = np.ones(len(inside) + 1, bool)
+    apart[1:-1] = ~(inside[1:] & inside[:-1])
+    if cut is not None:
+        apart[1:-1] |= cut[data[:-1], data[1:]]
+    apart[offsets] = True
+    return np.flatnonzero(inside & apart[:-1]), np.flatnonzero(inside & apart[1:]) + 1
 
 
 def encode(offsets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> Words:
@@ -101,13 +102,13 @@ def encode(offsets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kept: n
     return Words(places, coded.indices.to_numpy(), coded.dictionary)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, cut: np.ndarray | None = None) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text, A-Z lower-cased if asked for."""
     offsets, data = flat(texts)
     if lower:
         data = LOWER[data]
     solid = ~SPACE[data]
-    starts, ends = runs(offsets, solid)
+    starts, ends = runs(offsets, data, solid, cut)
     return encode(offsets, starts, ends - starts, data[solid])
 
 
