@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyrascope.llm import bit_packing, bpe_counts, weak_rules
+from lyrascope.llm import bit_packing, bpe_counts, odd_sketch, quality_crf, weak_rules
 from lyrascope.llm.shared import new_path
 
 
@@ -10,6 +10,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = quality_crf.fit(docs, labels(spark, sf_dir))
+    return quality_crf.with_fold(quality_crf.score(docs, field))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir))
 
@@ -20,10 +30,14 @@ def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.read_digests(spark.read.parquet(path))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_bit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op7_bit_packing, op9_near_duplicates, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
