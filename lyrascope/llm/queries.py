@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyrascope.llm import bit_packing, bpe_counts, odd_sketch, quality_crf, weak_rules
+from lyrascope.llm import bit_packing, bpe_counts, merge_dropout, odd_sketch, quality_crf, weak_rules
 from lyrascope.llm.shared import new_path
 
 
@@ -24,6 +24,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir))
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.digests(documents(spark, sf_dir))
+
+
 def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
     bit_packing.write_ids(documents(spark, sf_dir), path)
@@ -38,6 +42,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op7_bit_packing, op9_near_duplicates, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_quality_classifier,
+        op5_quality_rules,
+        op6_merge_dropout,
+        op7_bit_packing,
+        op9_near_duplicates,
+        op10_token_counts,
+    )
+}
 
 ORACLES: dict[str, str] = {}
