@@ -297,7 +297,7 @@ def decode_documents(coded: DataFrame, model: str = MODEL) -> DataFrame:
 def digests(
     docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT
 ) -> DataFrame:
-    """doc_id, n_tokens, n_pieces (without dropout), ids_crc32 and lossless of documents.
+    """doc_id, n_tokens, ids_crc32 and lossless of documents.
 
     ``lossless`` tells whether the decoded bytes are the text's; the cases are those of
     ``encode_documents``.

@@ -2,7 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyrascope.llm import bit_packing, bpe_counts, merge_dropout, odd_sketch, quality_crf, weak_rules
+from lyrascope.llm import (
+    bit_packing,
+    bpe_counts,
+    i_match,
+    merge_dropout,
+    odd_sketch,
+    pfair_mixing,
+    quality_crf,
+    weak_rules,
+)
 from lyrascope.llm.shared import new_path
 
 
@@ -20,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.with_fold(quality_crf.score(docs, field))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir))
 
@@ -34,6 +47,10 @@ def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_packing.read_digests(spark.read.parquet(path))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return i_match.fingerprints(documents(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(documents(spark, sf_dir))
 
@@ -46,9 +63,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_quality_classifier,
+        op3_source_mixing,
         op5_quality_rules,
         op6_merge_dropout,
         op7_bit_packing,
+        op8_fingerprints,
         op9_near_duplicates,
         op10_token_counts,
     )
