@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from lyrascope.llm import (
+    attention_lm,
     bit_packing,
     bpe_counts,
     i_match,
@@ -23,6 +24,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(documents(spark, sf_dir))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     field = quality_crf.fit(docs, labels(spark, sf_dir))
@@ -62,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_quality_classifier,
         op3_source_mixing,
         op5_quality_rules,
