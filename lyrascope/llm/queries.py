@@ -6,6 +6,7 @@ from lyrascope.llm import (
     attention_lm,
     bit_packing,
     bpe_counts,
+    html_suffix,
     i_match,
     merge_dropout,
     odd_sketch,
@@ -38,6 +39,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir))
 
@@ -70,6 +75,7 @@ QUERIES = {
         op1_lm_scoring,
         op2_quality_classifier,
         op3_source_mixing,
+        op4_main_text,
         op5_quality_rules,
         op6_merge_dropout,
         op7_bit_packing,
