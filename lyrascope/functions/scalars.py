@@ -43,8 +43,8 @@ def plain_words(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case letter sequences used as topic terms."""
-    return F.array_remove(F.split(F.lower(text), "[^a-zà-ÿ]+"), "")
+    """Lower-case sequences of letters and marks of any script, used as topic terms."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), "")
 
 
 def text_key(text: Column) -> Column:

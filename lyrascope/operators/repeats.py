@@ -64,12 +64,14 @@ def keep_first_copy(
     """One row per distinct text of a language: the values of its lowest id.
 
     ``totals`` are aggregates over all copies.  This is one aggregation with map-side
-    combining, so a text with very many copies costs no more than any other.
+    combining, so a text with very many copies costs no more than any other.  Songs without
+    a text are no copies of each other.
     """
+    key = F.coalesce("text_key", F.concat(F.lit("id "), F.col("text_id")))
     first = [F.min_by(v, "text_id").alias(v) for v in values]
     extra = [column.alias(name) for name, column in (totals or {}).items()]
     return (
-        songs.groupBy("language", "text_key")
+        songs.groupBy("language", key.alias("text_key"))
         .agg(F.min("text_id").alias("_first"), *first, *extra)
         .withColumnRenamed("_first", "text_id")
         .drop("text_key")

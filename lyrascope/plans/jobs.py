@@ -38,7 +38,9 @@ def evaluate_translations(
     songs = annotations.read_songs(spark, root, files, languages)
     listed = repeats.repeat_table(spark, repeated)
     counts = materialise(
-        quality.song_word_counts(songs).select("language", "text_id", *quality.SONG_VALUES)
+        quality.song_word_counts(songs).select(
+            "language", "text_id", "position", *quality.SONG_VALUES
+        )
     )
     rows = quality.flagged_songs(counts, listed)
     kappas = agreement.self_agreement(agreement.statuses(songs), listed)

@@ -177,36 +177,40 @@ tok as (
   select doc_id, lang, generate_subscripts(l, 1) - 1 as pos, unnest(l) as w from src
 )"""
 
-TOPICS = """
-topic as (
-  select lang, count(*) as count, row_number() over (order by lang) - 1 as topic_id
-  from documents group by lang
-),
-tt as (
-  select doc_id, topic_id, generate_subscripts(l, 1) - 1 as pos, unnest(l) as t from (
-    select doc_id, lang,
-           list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+'), lambda x: x <> '') as l
-    from documents) join topic using (lang)
+def topic_sql(groups: str) -> str:
+    """Words of all documents, and term weights learnt from those whose language has a topic."""
+    return f"""
+topic as ({groups}),
+word as (
+  select doc_id, lang, generate_subscripts(l, 1) - 1 as pos, unnest(l) as t from (
+    select doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}]+'),
+                                     lambda x: x <> '') as l
+    from documents)
 ),
-tf as (select topic_id, t, count(*) as tf from tt group by all),
+tf as (select topic_id, t, count(*) as tf from word join topic using (lang) group by all),
 mean_words as (select sum(tf) / count(distinct topic_id) as a from tf),
 idf as (
   select t, ln(1 + (select a from mean_words) / sum(tf)) as idf from tf group by t
 ),
+weighted as (select topic_id, t, tf * idf as weight from tf join idf using (t)),
 kept as (
-  select topic_id, t, tf * idf as weight,
-         row_number() over (partition by topic_id order by tf * idf desc, t) as rank
-  from tf join idf using (t) qualify rank <= 200
+  select *, row_number() over (partition by topic_id order by weight desc, t) as rank
+  from weighted qualify rank <= 200
 )"""
 
-SCORES = f"""{TOPICS},
-topic_norm as (select topic_id, sqrt(sum(weight * weight)) as norm from kept group by topic_id),
+
+def score_sql(groups: str) -> str:
+    """Scores of all documents against the topics that are not the outlier."""
+    return f"""{topic_sql(groups)},
+topic_norm as (
+  select topic_id, sqrt(sum(weight * weight)) as norm from weighted group by topic_id
+),
 start as (
-  select doc_id, unnest(range(greatest(max(pos) - 3, 0) + 1)) as start from tt group by doc_id
+  select doc_id, unnest(range(greatest(max(pos) - 3, 0) + 1)) as start from word group by doc_id
 ),
 bag as (
-  select s.doc_id, s.start, tt.t, count(*) as c from start s
-  join tt on tt.doc_id = s.doc_id and tt.pos between s.start and s.start + 3 group by all
+  select s.doc_id, s.start, w.t, count(*) as c from start s
+  join word w on w.doc_id = s.doc_id and w.pos between s.start and s.start + 3 group by all
 ),
 bag_norm as (
   select doc_id, start, sqrt(sum(c * idf * c * idf)) as norm
@@ -215,7 +219,7 @@ bag_norm as (
 similarity as (
   select b.doc_id, b.start, k.topic_id,
          sum(b.c * i.idf * k.weight) / any_value(n.norm) / any_value(tn.norm) as similarity
-  from bag b join idf i on b.t = i.t join kept k on b.t = k.t
+  from bag b join idf i on b.t = i.t join weighted k on b.t = k.t and k.topic_id >= 0
   join bag_norm n on n.doc_id = b.doc_id and n.start = b.start
   join topic_norm tn on tn.topic_id = k.topic_id
   group by b.doc_id, b.start, k.topic_id
@@ -223,7 +227,18 @@ similarity as (
 score as (
   select doc_id as id, topic_id, sum(similarity) as score from similarity
   where similarity >= 0.1 group by doc_id, topic_id
-),
+)"""
+
+
+LANGUAGE_TOPICS = """select lang, count(*) as count, row_number() over (order by lang) - 1 as topic_id
+  from documents group by lang"""
+
+# French texts are the outlier group, Spanish ones are not learnt from.
+HELDOUT_TOPICS = "select * from (values ('de', 0), ('en', 1), ('fr', -1)) v(lang, topic_id)"
+
+TOPICS = topic_sql(LANGUAGE_TOPICS)
+
+SCORES = f"""{score_sql(LANGUAGE_TOPICS)},
 distribution as (
   select id, topic_id, score / sum(score) over (partition by id) as prob from score
 ),
@@ -393,10 +408,34 @@ from src where n_chars % 2 = 1""",
 select doc_id, lang, cast((row_number() over (
          partition by lang order by md5(doc_id || '|42'), doc_id) - 1) % 5 as integer) as fold
 from documents""",
+    "lda_corpus": """
+select doc_id as id, lang as label, cast((row_number() over (
+         partition by lang order by md5(doc_id || '|42'), doc_id) - 1) % 5 as integer) as fold,
+       len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}]+'),
+                       lambda x: x <> '')) as n_words
+from documents""",
+    "pca_total_variance": f"""with {NORMED}
+select count(*) as n_components, round(sum(v) * 1e6, 3) as total_variance
+from (select var_samp(value) as v from normed group by dimension)""",
+    "pca_row_length": f"""with {NORMED},
+centred as (
+  select vec_id, value - avg(value) over (partition by dimension) as value from normed
+)
+select vec_id, round(sum(value * value) * 1e6, 3) as squared_length
+from centred group by vec_id""",
+    "pca_means": f"""with {NORMED}
+select distinct cast(dimension as integer) as dimension, 0.0::double as mean from normed""",
+    "pca_whiten_covariance": f"""with {NORMED},
+d as (select distinct cast(dimension as integer) as d from normed)
+select a.d as i, b.d as j, case when a.d = b.d then 1.0 else 0.0 end::double as covariance
+from d a join d b on a.d <= b.d""",
     "topic_info": """
 select row_number() over (order by lang) - 1 as topic_id, 'topic ' || lang as name,
        count(*) as count
 from documents group by lang qualify lang <> 'fr'""",
+    "topic_scores_heldout": f"""with {score_sql(HELDOUT_TOPICS)}
+select d.doc_id as id, s.topic_id, round(s.score, 6) as score
+from documents d left join score s on s.id = d.doc_id""",
     "topic_terms": f"""with {TOPICS}
 select topic_id, t as term, round(weight, 6) as weight, rank from kept""",
     "topic_distribution": f"""with {SCORES}

@@ -1,6 +1,6 @@
 """The registered queries: operators applied to the driver tables."""
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +86,7 @@ def mt_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mt_unusual_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = standins.songs(spark, sf_dir)
     kept = repeats.keep_first_copy(songs, ["unusual_language"]).withColumn("kept", F.lit(True))
-    return quality.unusual_distribution(kept)
+    return quality.unusual_distribution(kept, "text_id")
 
 
 def _self_kappas(spark, sf_dir, keys) -> DataFrame:
@@ -227,9 +227,9 @@ def corpus_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.in_subset(corpus_clean(spark, sf_dir), standins.id_list(spark, sf_dir)).select(
-        "item_id", F.length("translation").alias("n_chars")
-    )
+    # The length is taken before the join, so that no text is shuffled.
+    sizes = corpus_clean(spark, sf_dir).select("item_id", F.length("translation").alias("n_chars"))
+    return corpus.in_subset(sizes, standins.id_list(spark, sf_dir))
 
 
 def subset_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +280,20 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topics.weigh_terms(docs).kept)
 
 
+def topic_scores_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts scored by topics learnt from some languages, one of them the outlier group.
+
+    A text without any similarity has one row with a NULL topic.
+    """
+    training = standins.topic_documents(spark, sf_dir, standins.heldout_topics(spark))
+    docs = standins.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    scores = topics.topic_scores(docs, topics.fit_topics(training))
+    found = scores.filter(F.col("topic_id").isNotNull())
+    return rounded(
+        docs.select("id").join(found, "id", "left").select("id", "topic_id", "score")
+    )
+
+
 def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topics.topic_distribution(_scores(spark, sf_dir)[2]))
 
@@ -369,6 +383,49 @@ def pca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _all_components(spark, sf_dir, whiten: bool = False) -> DataFrame:
+    """vec_id, dimension and value of all components of every row."""
+    rows = _normed(spark, sf_dir)
+    fitted = reduction.fit_reduction(rows, 1.0, whiten)
+    return fitted.transform(rows).select(
+        "vec_id", F.posexplode_outer("components").alias("dimension", "value")
+    )
+
+
+# What SQL can say about a PCA: it turns the centred rows without changing their lengths, its
+# components are centred, and whitened ones have the identity as covariance.
+
+
+def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_component = _all_components(spark, sf_dir).groupBy("dimension")
+    variances = by_component.agg(F.var_samp("value").alias("variance"))
+    # Values of normalised rows are small, so they keep more decimals.
+    return variances.agg(
+        F.count("*").alias("n_components"),
+        F.round(F.sum("variance") * 1e6, 3).alias("total_variance"),
+    )
+
+
+def pca_row_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    squares = F.sum(F.col("value") * F.col("value"))
+    rows = _all_components(spark, sf_dir).groupBy("vec_id").agg(squares.alias("squared"))
+    return rows.select("vec_id", F.round(F.col("squared") * 1e6, 3).alias("squared_length"))
+
+
+def pca_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _all_components(spark, sf_dir).groupBy("dimension").agg(F.avg("value").alias("mean"))
+    return means.select("dimension", (F.round("mean", 6) + 0.0).alias("mean"))
+
+
+def pca_whiten_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normed(spark, sf_dir)
+    fitted = reduction.fit_reduction(rows, 1.0, whiten=True)
+    whitened = fitted.transform(rows).select(array_to_vector("components").alias("normed"))
+    return reduction.covariance(whitened).withColumn(
+        "covariance", F.round("covariance", 6) + 0.0
+    )
+
+
 # Topic-number tuning
 
 
@@ -378,18 +435,23 @@ def _tuning_corpus(spark, sf_dir) -> tuning.Corpus:
     )
 
 
+def lda_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the models are fitted on: every text with its label, fold and number of words."""
+    return _tuning_corpus(spark, sf_dir).rows.select("id", "label", "fold", "n_words")
+
+
 def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = tuning.tune_topics(spark, _tuning_corpus(spark, sf_dir), [2, 4], max_iter=5)
+    grid = tuning.tune_topics(spark, _tuning_corpus(spark, sf_dir), [2, 4])
     return tuning.mean_perplexity(grid)
 
 
 def lda_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.run_models(spark, _tuning_corpus(spark, sf_dir), 4, 3, max_iter=5).record
+    return tuning.run_models(spark, _tuning_corpus(spark, sf_dir), 4, 3).record
 
 
 def model_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tuning_corpus(spark, sf_dir)
-    runs = tuning.run_models(spark, rows, 4, 2, max_iter=5)
+    runs = tuning.run_models(spark, rows, 4, 2)
     return tuning.model_similarity(runs, rows)
 
 
@@ -425,6 +487,7 @@ QUERIES = {
         stratified_folds,
         topic_info,
         topic_terms,
+        topic_scores_heldout,
         topic_distribution,
         topic_assign,
         topic_summary,
@@ -436,6 +499,11 @@ QUERIES = {
         pca_report,
         pca_reduce,
         pca_whiten,
+        pca_total_variance,
+        pca_row_length,
+        pca_means,
+        pca_whiten_covariance,
+        lda_corpus,
         lda_grid,
         lda_runs,
         model_similarity,

@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lyrascope.constants import OUTLIER_TOPIC
 from lyrascope.functions.scalars import plain_words, source_words, text_key
 from lyrascope.operators.corpus import stack
 from lyrascope.operators.skew import id_buckets, number_rows
-from lyrascope.session import broadcast_if_small, materialise, spread
+from lyrascope.session import broadcast_if_small, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """Documents, dealt to all cores where a small test table is one file in few splits.
+
+    That shuffles the table, so it is for the stand-ins only; the operators never do it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
 
 
 def status_of(annotator: int, doc_id: Column, pos: Column, word: Column) -> Column:
@@ -213,6 +220,13 @@ def topic_documents(spark: SparkSession, sf_dir: str, topics: DataFrame) -> Data
     )
 
 
+def heldout_topics(spark: SparkSession) -> DataFrame:
+    """Topics of two languages, with a third one as the outlier group; others are not learnt."""
+    return spark.createDataFrame(
+        [("de", 0), ("en", 1), ("fr", OUTLIER_TOPIC)], "lang string, topic_id int"
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows: vec_id, label, features."""
     return table(spark, sf_dir, "embeddings").select(

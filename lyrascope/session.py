@@ -1,8 +1,6 @@
-"""Session helpers: building, lineage cuts, input spreading and guarded broadcasts."""
+"""Session helpers: building, lineage cuts and guarded broadcasts."""
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +29,11 @@ def build_session(app: str, cpus: str | int = "*", memory: str = "8g", **conf) -
     return spark
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lyrascope-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only a local session gets its own."""
+    """The folder named in spark.checkpoint.dir, or one below the warehouse without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = _local_folder()
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return shared
 
 
@@ -51,26 +42,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Used where several branches read the same expensive result: the texts are then
     scanned once, a lost executor costs no recomputation, and later reads are columnar
-    and have a known size.
+    and have a known size.  The table is deleted when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lyrascope/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    place.getFileSystem(configuration).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that has fewer splits than cores.
-
-    Large inputs come in more splits than cores and are returned as they are, so this
-    adds a shuffle only where the whole input is a few megabytes.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a table whose counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df
