@@ -5,19 +5,20 @@
 2. MinHash samples of the set are grouped into bands, whose hashes are the candidate buckets,
    and folded into an odd sketch: every (sample number, sample) flips one bit, so that two
    sketches differ in few bits exactly if the sets are very similar.
-3. Within a bucket a maximum spanning forest over the estimated similarities proposes a link
-   for each document.  Large buckets are cut into blocks.  Proposals are confirmed on the full
-   sets; components grow from the confirmed ones, and refused pairs are not proposed again.
-4. That repeats, with the documents outside the component of their bucket's first document
-   meeting every block of it, until no bucket has an untried pair of two components whose
-   estimated similarity could reach the threshold.
-
-So the work per round is linear in the documents, no pairs within a group are emitted but the
-forest's edges, and copies are never compared with each other.
+3. Within a bucket a maximum spanning forest over the estimated similarities joins documents
+   that may be alike.  Large buckets are cut into blocks, by another hash for each band.
+   The forests' components are clusters; links are only looked for inside them.
+4. A cluster of at most BLOCK documents goes to one task with its full sets, which finds its
+   components exactly.  In a larger one each document's two best forest edges are confirmed on
+   the full sets first.  Then the documents outside the cluster's largest component meet all of
+   the cluster, in blocks against blocks.
+
+So the work is linear in the documents but for those last ones, the only pairs written are
+forest edges and links, and copies are never compared with each other.
 """
 
 from collections.abc import Iterator
-from itertools import count
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -160,36 +161,27 @@ def describe(chunk: pa.RecordBatch) -> pa.RecordBatch:
         for i in full:
             keys[0, i] = sets[i].sum(dtype=np.uint64)
             keys[1, i] = mix(sets[i] + np.uint64(1)).sum(dtype=np.uint64)
-    lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), bands.shape[1])
-    if not bands.shape[1]:
-        lists = pa.array([[] for _ in sets], pa.list_(pa.int64()))
+    places = pa.array(np.arange(len(sets) + 1) * bands.shape[1], pa.int32())
+    lists = pa.ListArray.from_arrays(places, pa.array(bands.ravel(), pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
             chunk.column("doc_id"),
             pa.array(sizes, pa.int64()),
             pa.array(keys[0].view(np.int64)),
             pa.array(keys[1].view(np.int64)),
-            lists.cast(pa.list_(pa.int64())),
+            lists,
             pa.array([row.tobytes() for row in drawn], pa.binary()),
         ],
         schema=FEATURES,
     )
 
 
-def forest(rep, component, packed, tried) -> list[tuple[int, int, float]]:
-    """Edges between components of a maximum spanning forest over one block's estimates.
+def forest(rep: np.ndarray, packed: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges of a maximum spanning forest over one block's estimates, from PROPOSE_AT on.
 
-    Prim's method, a row of similarities at a time.  Documents of one component are joined
-    from the start and give no edge; tried pairs have none.
+    Prim's method, a row of similarities at a time.
     """
     alike = similarities(packed)
-    place = {r: i for i, r in enumerate(rep.tolist())}
-    for i, others in enumerate(tried):
-        for other in others or ():
-            j = place.get(other)
-            if j is not None:
-                alike[i, j] = alike[j, i] = -1
-    alike[component[:, None] == component[None, :]] = 2
     n = len(rep)
     best, parent = np.full(n, -2.0), np.full(n, -1)
     left = np.ones(n, bool)
@@ -197,7 +189,7 @@ def forest(rep, component, packed, tried) -> list[tuple[int, int, float]]:
     for _step in range(n):
         i = int(np.argmax(np.where(left, best, -3.0)))
         left[i] = False
-        if PROPOSE_AT <= best[i] < 2:
+        if best[i] >= PROPOSE_AT:
             edges.append((int(rep[i]), int(rep[parent[i]]), float(best[i])))
         nearer = left & (alike[i] > best)
         best[nearer], parent[nearer] = alike[i][nearer], i
@@ -207,42 +199,99 @@ def forest(rep, component, packed, tried) -> list[tuple[int, int, float]]:
 PROPOSALS = pa.schema([("child", pa.int64()), ("parent", pa.int64()), ("alike", pa.float64())])
 
 
-def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Proposed edges of rows that are sorted by bucket, block and rep."""
-    held: pa.Table | None = None
-    for batch in batches:
-        more = pa.Table.from_batches([batch])
-        held = more if held is None else pa.concat_tables([held, more])
-        ends = _group_ends(held)
-        # The last group may go on in the next batch.
-        done = int(ends[-2]) if len(ends) > 1 else 0
-        if done:
-            yield _proposals(held.slice(0, done))
-            held = held.slice(done)
-    if held is not None and held.num_rows:
-        yield _proposals(held)
-
-
-def _group_ends(table: pa.Table) -> np.ndarray:
-    bucket, block = table.column("bucket").to_numpy(), table.column("block").to_numpy()
-    new = (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])
-    return np.r_[np.flatnonzero(new) + 1, len(bucket)]
-
-
-def _proposals(table: pa.Table) -> pa.RecordBatch:
-    ends = _group_ends(table)
-    starts = np.r_[0, ends[:-1]]
-    rep = table.column("rep").to_numpy()
-    component = table.column("component").to_numpy()
-    sketch = b"".join(table.column("sketch").to_pylist())
-    packed = np.frombuffer(sketch, np.uint8).reshape(-1, SKETCH_BITS // 8)
-    tried = table.column("tried").to_pylist()
+def by_group(function, keys: list[str]):
+    """A function for mapInArrow over rows sorted by keys, which gives ``function`` whole groups."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            ends = group_ends(held, keys)
+            # The last group may go on in the next batch.
+            if len(ends) > 1:
+                yield function(held.slice(0, int(ends[-2])), ends[:-1])
+                held = held.slice(int(ends[-2]))
+        if held is not None and held.num_rows:
+            yield function(held, group_ends(held, keys))
+
+    return apply
+
+
+def group_ends(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for key in keys:
+        values = table.column(key).to_numpy()
+        new |= values[1:] != values[:-1]
+    return np.r_[np.flatnonzero(new) + 1, table.num_rows]
+
+
+def _packed(table: pa.Table) -> np.ndarray:
+    raw = b"".join(table.column("sketch").to_pylist())
+    return np.frombuffer(raw, np.uint8).reshape(-1, SKETCH_BITS // 8)
+
+
+def propose(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+    """Forest edges of groups of rows (rep, sketch)."""
+    rep, packed = table.column("rep").to_numpy(), _packed(table)
     edges = []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        if (component[a:b] != component[a]).any():
-            edges += forest(rep[a:b], component[a:b], packed[a:b], tried[a:b])
-    return pa.RecordBatch.from_pylist(
-        [dict(zip(PROPOSALS.names, e, strict=True)) for e in edges], PROPOSALS
+    for a, b in pairwise([0, *ends.tolist()]):
+        edges += forest(rep[a:b], packed[a:b])
+    columns = list(zip(*edges, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, PROPOSALS.types, strict=True)], schema=PROPOSALS
+    )
+
+
+def reaches(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two full sets reach the threshold."""
+    low, high = sorted((len(u), len(v)))
+    if 100 * low < THRESHOLD * high:
+        return False
+    common = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
+    return 100 * common >= THRESHOLD * (low + high - common)
+
+
+def resolve(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+    """Links of groups of rows (rep, component, query, sketch, members), enough to join them.
+
+    Pairs without a query document, and pairs of one component, are left out.
+    """
+    links = []
+    rep, packed = table.column("rep").to_numpy(), _packed(table)
+    own, query = table.column("component").to_numpy(), table.column("query").to_numpy()
+    for a, b in pairwise([0, *ends.tolist()]):
+        # A query document may be there as one of the block as well.
+        order = a + np.lexsort((~query[a:b], rep[a:b]))
+        order = order[np.r_[True, rep[order][1:] != rep[order][:-1]]]
+        alike = np.triu(similarities(packed[order]), 1)
+        alike[~(query[order][:, None] | query[order][None, :])] = 0
+        x, y = np.nonzero(alike >= PROPOSE_AT)
+        best = np.argsort(-alike[x, y], kind="stable")
+        _, group = np.unique(own[order], return_inverse=True)
+        root = list(range(int(group.max()) + 1))
+
+        def top(i: int, root=root) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        sets = {}
+        for i, j in zip(x[best].tolist(), y[best].tolist(), strict=True):
+            p, q = top(group[i]), top(group[j])
+            if p == q:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    raw = table.column("members")[int(order[k])].as_py()
+                    sets[k] = np.frombuffer(raw, np.uint64)
+            if reaches(sets[i], sets[j]):
+                root[max(p, q)] = min(p, q)
+                links.append((int(rep[order[i]]), int(rep[order[j]])))
+    columns = list(zip(*links, strict=True)) or [[], []]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in columns], ["a", "b"]
     )
 
 
@@ -278,56 +327,51 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("rep"), F.col("b").alias("component"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and whether the full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                u = np.frombuffer(x.as_buffer(), np.uint64)
-                v = np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                linked.append(100 * common >= THRESHOLD * (len(u) + len(v) - common))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())],
-                ["a", "b", "linked"],
-            )
+            linked = [
+                reaches(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
+                for x, y in zip(batch.column("left"), batch.column("right"), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("members").alias("right"))
-    return map_arrow(
-        pairs.select("a", "b").join(left, "a").join(right, "b"),
-        compare,
-        "a long, b long, linked boolean",
-    )
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return map_arrow(both.select("a", "b", "left", "right"), compare, "a long, b long")
 
 
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and members, the bytes of the full set, of some documents."""
+
     def members(chunk: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(chunk.column("text"))
         return pa.RecordBatch.from_arrays(
-            [chunk.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["rep", "members"],
+            [
+                chunk.column("rep"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([s.view(np.int64).sum() for s in sets], pa.int64()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ],
+            ["rep", "n_shingles", "key1", "members"],
         )
 
-    texts = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi")
-    return map_arrow(
-        texts.select(F.col("doc_id").alias("rep"), "text"),
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    made = map_arrow(
+        texts.join(reps.select("rep"), "rep", "left_semi"),
         map_chunks(members),
-        "rep long, members binary",
+        "rep long, n_shingles long, key1 long, members binary",
     )
+    # Of several rows with one doc_id, the one that stands for it.
+    return made.join(reps, ["rep", "n_shingles", "key1"], "left_semi").dropDuplicates(["rep"])
 
 
-def _blocks(rows: DataFrame, first_round: bool) -> DataFrame:
-    """Rows of buckets dealt to blocks of about BLOCK documents."""
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.array(F.pmod(F.xxhash64("rep", "bucket"), n_blocks).cast("int"))
-    everywhere = F.sequence(F.lit(0), n_blocks - 1)
-    at_all = F.col("rep") == F.col("first")
-    if not first_round:
-        at_all = at_all | (F.col("component") != F.col("first_component"))
-    return rows.withColumn("block", F.explode(F.when(at_all, everywhere).otherwise(own)))
+def _grouped(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rep")
+    return map_arrow(dealt, by_group(function, keys), schema)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -357,7 +401,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = written(
         own.join(first, ["doc_id", *keys], "left_semi")
         .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("rep"), "bands", "sketch"),
+        .select(F.col("doc_id").alias("rep"), "n_shingles", "key1", "bands", "sketch"),
         "representatives",
     )
     links = _links(texts, reps)
@@ -372,78 +416,86 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _links(texts: DataFrame, reps: DataFrame) -> DataFrame | None:
-    """Confirmed links (a, b) between representatives, enough to connect all components."""
+def _forests(reps: DataFrame) -> DataFrame:
+    """child, parent and alike: forest edges of all blocks of all buckets."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = (
         rows.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min("rep").alias("first"))
         .filter("n > 1")
     )
-    rows = written(rows.join(buckets, "bucket"), "buckets")
-    met = written(rows.select("rep").distinct(), "met")
-    if met.isEmpty():
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep", "bucket"), n_blocks).cast("int"))
+    # The bucket's first document is in all of its blocks.
+    at = F.when(F.col("rep") == F.col("first"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(own)
+    blocks = rows.join(buckets, "bucket").select("rep", "bucket", F.explode(at).alias("block"))
+    rows = blocks.join(reps.select("rep", "sketch"), "rep")
+    return _grouped(rows, ["bucket", "block"], propose, "child long, parent long, alike double")
+
+
+def _links(texts: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Confirmed links (a, b) between representatives, enough to connect all components."""
+    edges = written(_forests(reps), "forests")
+    if edges.isEmpty():
         return None
-    sketch = reps.join(met, "rep", "left_semi").select("rep", "sketch")
-    sets = written(_sets(texts, met), "sets")
-    links = refused = labels = None
-    per_document = 4
-    for number in count(1):
-        edges = written(
-            _proposed(rows, sketch, labels, refused, per_document), f"proposed{number}"
-        )
-        if number > 1 and edges.isEmpty():
-            return links
-        checked = written(_verify(edges, sets), f"checked{number}")
-        yes = checked.filter("linked").drop("linked")
-        no = checked.filter("NOT linked").drop("linked")
-        links = yes if links is None else links.unionByName(yes)
-        refused = no if refused is None else refused.unionByName(no)
-        labels = components(links)
-        # Refused pairs get rarer, so a document may try more of them in the next round.
-        per_document *= 4
-
-
-def _proposed(rows, sketch, labels, refused, per_document: int) -> DataFrame:
-    """Untried pairs (a, b) that may link two components: the best few of each document."""
-    if labels is None:
-        rows = rows.withColumn("component", F.col("rep"))
-    else:
-        rows = rows.join(labels, "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        open_buckets = (
-            rows.groupBy("bucket")
-            .agg(
-                F.min("component").alias("_low"),
-                F.max("component").alias("_high"),
-                F.max(F.when(F.col("rep") == F.col("first"), F.col("component"))).alias(
-                    "first_component"
-                ),
-            )
-            .filter("_low < _high")
-            .select("bucket", "first_component")
-        )
-        rows = rows.join(open_buckets, "bucket")
-    rows = _blocks(rows, labels is None).join(sketch, "rep")
-    if refused is None:
-        rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
-    else:
-        both = refused.union(refused.select("b", "a"))
-        tried = both.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tried"))
-        rows = rows.join(tried, "rep", "left")
-    sorted_rows = (
-        rows.select("bucket", "block", "rep", "component", "sketch", "tried")
-        .repartition("bucket", "block")
-        .sortWithinPartitions("bucket", "block", "rep")
-    )
-    found = map_arrow(sorted_rows, propose, "child long, parent long, alike double")
-    # A document has at most one parent per block it is in.
+    ends = edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    clusters = components(ends).withColumnRenamed("component", "cluster")
+    # The smallest document of a cluster points at no other.
+    firsts = clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()
+    clusters = clusters.unionByName(firsts)
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    clusters = written(clusters.join(sizes, "cluster"), "clusters")
+    keyed = reps.select("rep", "n_shingles", "key1", "sketch").join(clusters, "rep", "left_semi")
+    sets = written(_sets(texts, keyed.drop("sketch")), "sets").select("rep", "members")
+    described = sets.join(keyed.select("rep", "sketch"), "rep")
+
+    small = clusters.filter(F.col("n") <= BLOCK).join(described, "rep")
+    small = small.withColumn("component", F.col("rep")).withColumn("query", F.lit(True))
+    columns = ["rep", "component", "query", "sketch", "members"]
+    links = _grouped(small.select("cluster", *columns), ["cluster"], resolve, "a long, b long")
+
+    large = written(clusters.filter(F.col("n") > BLOCK).select("rep", "cluster", "n"), "large")
+    if large.isEmpty():
+        return links
     best = F.sort_array(F.collect_set(F.struct("alike", "parent")), asc=False)
-    return (
-        found.groupBy("child")
-        .agg(F.slice(best, 1, per_document).alias("best"))
+    pairs = (
+        edges.join(large.select(F.col("rep").alias("child")), "child", "left_semi")
+        .groupBy("child")
+        .agg(F.slice(best, 1, 2).alias("best"))
         .select("child", F.explode("best.parent").alias("parent"))
         .select(F.greatest("child", "parent").alias("a"), F.least("child", "parent").alias("b"))
         .distinct()
     )
+    confirmed = written(_confirmed(pairs, sets), "confirmed")
+    labelled = large.join(components(confirmed), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    largest = (
+        labelled.groupBy("cluster", "component")
+        .agg(F.count("*").alias("m"))
+        .groupBy("cluster")
+        .agg(
+            F.max_by("component", F.struct("m", -F.col("component"))).alias("_largest"),
+            (F.sum("m") - F.max("m")).alias("_open"),
+        )
+    )
+    # Blocks of all documents of a cluster against blocks of those outside its largest component.
+    dealt = written(
+        labelled.join(largest, "cluster")
+        .filter("_open > 0")
+        .withColumn("query", F.col("component") != F.col("_largest"))
+        .withColumn("rows", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("turns", F.ceil(F.col("_open") / BLOCK).cast("int"))
+        .select("rep", "cluster", "component", "query", "rows", "turns"),
+        "open",
+    )
+    row = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rows")).cast("int")
+    turn = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("turns")).cast("int")
+    every_row = F.explode(F.sequence(F.lit(0), F.col("rows") - 1))
+    every_turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
+    kept = dealt.select("*", row.alias("row")).select("*", every_turn.alias("turn"))
+    asked = dealt.filter("query").select("*", turn.alias("turn")).select("*", every_row.alias("row"))
+    met = kept.withColumn("query", F.lit(False)).unionByName(asked).join(described, "rep")
+    keys = ["cluster", "row", "turn"]
+    more = _grouped(met.select(*keys, *columns), keys, resolve, "a long, b long")
+    return links.unionByName(confirmed).unionByName(more)
