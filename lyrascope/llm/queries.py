@@ -85,4 +85,33 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# The other operators' methods are beyond SQL; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op9_near_duplicates": r"""
+with recursive word as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+),
+member as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+           else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s
+  from word
+),
+size as (select doc_id, count(*) as n from member group by doc_id),
+edge as (
+  select a.doc_id as x, b.doc_id as y
+  from member a join member b on a.s = b.s and a.doc_id <> b.doc_id
+  join size m on m.doc_id = a.doc_id join size n on n.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, m.n, n.n
+  having 100 * count(*) >= 85 * (m.n + n.n - count(*))
+),
+reach(x, y) as (
+  select doc_id, doc_id from word union select r.x, e.y from reach r join edge e on r.y = e.x
+),
+component as (select x as doc_id, min(y) as component_id from reach group by x)
+select w.doc_id, coalesce(n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from word w left join size using (doc_id) join component using (doc_id)
+""",
+}
