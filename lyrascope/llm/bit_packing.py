@@ -10,6 +10,7 @@ container so that Spark's commit protocol covers lost executors and any file sys
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,8 +30,11 @@ from tokenizers import Tokenizer  # noqa: E402
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
-# Words whose ids a Python worker keeps (about 200 bytes each).
-KEPT = 400_000
+# Words whose ids a Python worker keeps (about 150 bytes each).
+KEPT = 800_000
+
+# ASCII words that are coded in one call.
+JOINED = 1000
 
 BLOCK = (
     "file int, block int, first long, bits int, doc_ids array<long>, counts array<long>, "
@@ -62,31 +66,60 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of words by a tokenizer that drops white space, so that words are coded alone."""
+    """Ids of words that are coded alone, with ``before`` in front of each.
+
+    That gives the ids of whole texts for tokenizers that drop white space.
+    """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, before: str = ""):
+        self.before = before
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         # The ids of a tokenizer may have gaps; the width follows from the largest one.
         largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.size = largest + 1
         self.bits = int(largest).bit_length()
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and ids of the distinct words."""
-        raw, known = distinct.to_pylist(), self.known
-        if len(known) > KEPT:
-            known.clear()
-        new = [w for w in raw if w not in known]
+        self._forget()
+
+    def _forget(self) -> None:
+        # A word's number, and by number the places of its ids in one long list.
+        self.known: dict[bytes, int] = {}
+        self.starts, self.values = array("q", [0]), array("i")
+
+    def ids(self, distinct: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with the given codes, and the number of ids of each."""
+        raw = distinct.to_pylist()
+        if len(self.values) > 4 * KEPT:
+            self._forget()
+        self._learn([w for w in raw if w not in self.known])
+        number = np.array([self.known[w] for w in raw], np.int64)
+        # The lists grow later on, so they are copied.
+        return gather(np.array(self.starts), np.array(self.values), number[codes])
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add the ids of new words; those in ASCII are coded many at a time.
+
+        Set apart by spaces they are coded like alone, and a token's place tells its word.
+        """
+        plain = [w for w in new if w.isascii()]
+        other = [w for w in new if not w.isascii()]
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            coded = self.tokenizer.encode(" " + b" ".join(part).decode(), add_special_tokens=False)
+            # A word begins with the space before it.
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            places = np.array([begin for begin, _ in coded.offsets], np.int64)
+            ends = np.searchsorted(places, starts[1:], "left")
+            self._add(part, coded.ids, ends)
         made = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False
+            [self.before + w.decode() for w in other], add_special_tokens=False
         )
-        fresh = {w: e.ids for w, e in zip(new, made, strict=True)}
-        lists = [known[w] if w in known else fresh[w] for w in raw]
-        known.update((w, ids) for w, ids in fresh.items() if len(w) < 64)
-        offsets = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum([len(ids) for ids in lists], out=offsets[1:])
-        flat = [i for ids in lists for i in ids]
-        return offsets, np.array(flat, np.int64)
+        lists = [coded.ids for coded in made]
+        self._add(other, [i for ids in lists for i in ids], np.cumsum([len(ids) for ids in lists]))
+
+    def _add(self, new: list[bytes], ids: list[int], ends: np.ndarray) -> None:
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.starts.extend((ends + len(self.values)).astype(np.int64).tolist())
+        self.values.extend(ids)
 
     @property
     def cut(self) -> np.ndarray:
@@ -105,8 +138,7 @@ def word_encoder(name: str) -> WordEncoder:
 def encode_texts(texts: pa.Array, encoder: WordEncoder, end_id: int):
     """Ids of all texts, each with the end id, and the number of ids of each text."""
     found = words(texts, cut=encoder.cut)
-    offsets, values = encoder.ids(found.distinct)
-    ids, lengths = gather(offsets, values, found.codes)
+    ids, lengths = encoder.ids(found.distinct, found.codes)
     counts = sums(lengths, found.offsets)
     ids = np.insert(ids, np.cumsum(counts), end_id)
     return ids, counts + 1
