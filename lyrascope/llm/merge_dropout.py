@@ -46,7 +46,7 @@ class Vocabulary:
         names = [pieces.id_to_piece(i) for i in range(n)]
         self.id = {names[i]: i for i in range(n) if names[i] in self.rank}
         self.byte = np.array([pieces.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        spelt = [names[i].replace(MARK, " ").encode() if names[i] in self.rank else b"" for i in range(n)]
+        spelt = [name.replace(MARK, " ").encode() if name in self.rank else b"" for name in names]
         for b, i in enumerate(self.byte.tolist()):
             spelt[i] = bytes([b])
         self.spelt_offsets = np.r_[0, np.cumsum([len(s) for s in spelt])]
@@ -316,9 +316,8 @@ def digests(
             wrong = (sizes != np.diff(offsets)).astype(np.int64)
         ends = np.cumsum(counts)
         little = ids.astype("<u4")
-        crc = [
-            zlib.crc32(little[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)
-        ]
+        places = zip((ends - counts).tolist(), ends.tolist(), strict=True)
+        crc = [zlib.crc32(little[a:b]) for a, b in places]
         return pa.RecordBatch.from_arrays(
             [
                 chunk.column("doc_id"),

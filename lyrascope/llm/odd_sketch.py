@@ -392,7 +392,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     copies = (
         salted_join(
-            chosen, classes.select("set", "rep"), ["set"], "doc_id", counts=classes.select("set", "n")
+            chosen,
+            classes.select("set", "rep"),
+            ["set"],
+            "doc_id",
+            counts=classes.select("set", "n"),
         )
         .filter("doc_id <> rep")
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -494,7 +498,8 @@ def _links(texts: DataFrame, reps: DataFrame) -> DataFrame | None:
     every_row = F.explode(F.sequence(F.lit(0), F.col("rows") - 1))
     every_turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
     kept = dealt.select("*", row.alias("row")).select("*", every_turn.alias("turn"))
-    asked = dealt.filter("query").select("*", turn.alias("turn")).select("*", every_row.alias("row"))
+    asked = dealt.filter("query").select("*", turn.alias("turn"))
+    asked = asked.select("*", every_row.alias("row"))
     met = kept.withColumn("query", F.lit(False)).unionByName(asked).join(described, "rep")
     keys = ["cluster", "row", "turn"]
     more = _grouped(met.select(*keys, *columns), keys, resolve, "a long, b long")

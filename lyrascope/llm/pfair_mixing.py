@@ -105,10 +105,8 @@ def mix(
     """
     new = ["block", "slot", "released", "due", "place"]
     docs = docs.drop(*new)
-    rows = {
-        r["source"]: r["n"]
-        for r in docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    }
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1)
+    rows = {r["source"]: r["n"] for r in sizes.collect()}
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     given = default_shares(rows) if shares is None else {s: max(1, shares.get(s, 1)) for s in rows}

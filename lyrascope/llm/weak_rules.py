@@ -106,6 +106,8 @@ def measure(texts: pa.Array) -> Measures:
     key = found.owner * max(len(sizes), 1) + found.codes
     distinct = np.bincount(np.unique(key) // max(len(sizes), 1), minlength=len(n))
 
+    alone = sums(lone[found.codes].astype(np.int64), found.offsets)
+
     def share(part, whole):
         # A text without words is as bad as can be by every measure that abstains on nothing.
         return np.divide(part, whole, out=np.full(len(n), np.nan), where=whole > 0)
@@ -118,7 +120,7 @@ def measure(texts: pa.Array) -> Measures:
             "signs_per_char": share(sums(SIGNS[data], offsets), letters),
             "upper_per_char": share(sums(UPPER[data], offsets), letters),
             "exclamations_per_word": share(sums((data == 33).astype(np.int64), offsets), n),
-            "lone_signs_per_word": share(sums(lone[found.codes].astype(np.int64), found.offsets), n),
+            "lone_signs_per_word": share(alone, n),
             "repeated_words": share(repeats, n),
             "repeated_lines": share(duplicates, lines),
             # Long texts repeat their common words, so the distinct ones count per 200 words.

@@ -38,8 +38,9 @@ def check_components(spark, rows):
     expected = brute_components(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = by_id(odd_sketch.near_duplicates(df))
-    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items() if d is not None} == expected
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for d, r in got.items() if d is not None)
+    named = {d: r for d, r in got.items() if d is not None}
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in named.items()} == expected
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in named.values())
     return got
 
 
@@ -154,7 +155,8 @@ def test_mixed_rows_are_whole_and_follow_the_weights(spark):
     assert max(blocks.values()) == 2 and max(partial.values(), default=0) <= 1
     # While all sources last, they come up by their weights.
     given = {s: shares.get(s, 1) for s in {r["source"] for r in rows}}
-    cycles = min(-(-sum(n for (s, _), n in blocks.items() if s == q) // 2) // g for q, g in given.items())
+    n_blocks = collections.Counter(s for s, _ in blocks)
+    cycles = min(n_blocks[s] // g for s, g in given.items())
     total = sum(given.values())
     seen = collections.Counter()
     for slot in range(cycles * total):

@@ -8,8 +8,9 @@ from tests.llm.data import documents, frame
 def test_stages_work_on_what_the_one_before_kept(spark, tmp_path):
     folder = str(tmp_path)
     frame(spark).write.parquet(f"{folder}/documents.parquet")
-    rows = [(d, int("#" not in (t or "") and "$" not in (t or ""))) for d, t, *_ in documents() if d]
-    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    rows = [(d, int(not {"#", "$"} & set(t or ""))) for d, t, *_ in documents() if d]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    labels.write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
 
     def ids(df):

@@ -57,13 +57,12 @@ def test_label_model_finds_the_accuracies_of_its_rules():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.8
     right = [0.95, 0.9, 0.85, 0.8]
-    given = np.stack(
-        [
-            np.where(rng.random(len(truth)) < 0.3, 1, np.where(rng.random(len(truth)) < r, truth, ~truth) * 2)
-            for r in right
-        ],
-        1,
-    )
+
+    def vote(share):
+        says = np.where(rng.random(len(truth)) < share, truth, ~truth) * 2
+        return np.where(rng.random(len(truth)) < 0.3, 1, says)
+
+    given = np.stack([vote(share) for share in right], 1)
     model = weak_rules.fit_label_model(given, np.ones(len(given)), 100)
     assert abs(model.prior[1] - 0.8) < 0.05
     for k, r in enumerate(right):
@@ -80,7 +79,7 @@ def test_spark_posterior_is_the_models(spark):
 
 
 def labels(spark, ids):
-    rows = [(d, int("#" not in (t or "") and "$" not in (t or "")), 0) for d, t, *_ in documents() if d in ids]
+    rows = [(d, int(not {"#", "$"} & set(t or "")), 0) for d, t, *_ in documents() if d in ids]
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
