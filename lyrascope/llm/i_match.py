@@ -16,10 +16,10 @@ from lyrascope.llm.shared import written
 LEAST, MOST = 1 / 2048, 1 / 8
 
 # A subset takes one of so many terms, by subset.
-RATES = [2] * 2 + [32] * 6 + [128] * 8 + [512] * 8
+RATES = [32] * 8 + [128] * 8 + [512] * 8
 
 # Lexicon rows (a term and a number, about 50 bytes) that may be broadcast.  The lexicon has at
-# most (mean distinct terms of a document) / LEAST of them.
+# most (mean distinct terms of a document) / LEAST of them, and a quarter of these are in a subset.
 BROADCAST_ROWS = 300_000
 
 # Stands for a NULL doc_id in joins.
@@ -34,7 +34,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """term and subsets (one bit for each) of the terms in the band, from all texts."""
+    """term and subsets (one bit for each) of the band's terms in any subset, from all texts."""
     n = texts.count()
     # An outer explode: the plain one adds a filter that splits the text a second time.
     found = texts.select(F.explode_outer(terms(F.col("text"))).alias("term"))
@@ -43,19 +43,21 @@ def lexicon(texts: DataFrame, least: float = LEAST, most: float = MOST) -> DataF
     for j, rate in enumerate(RATES):
         drawn = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(rate))
         bits = bits.bitwiseOR(F.when(drawn == 0, F.lit(1 << j)).otherwise(0).cast("long"))
-    return counts.filter(
-        (F.col("term") != "") & (F.col("n") >= least * n) & (F.col("n") <= most * n)
-    ).select("term", bits.alias("subsets"))
+    in_band = (F.col("term") != "") & (F.col("n") >= least * n) & (F.col("n") <= most * n)
+    return counts.filter(in_band).select("term", bits.alias("subsets")).filter("subsets <> 0")
 
 
 def _hashes(kept: Column) -> Column:
     """One hash per subset of sorted (term, subsets), NULL for a subset without a term."""
-
-    def one(bit: int) -> Column:
-        own = F.filter(kept, lambda t: t["subsets"].bitwiseAND(F.lit(bit).cast("long")) != 0)
-        return F.when(F.size(own) > 0, F.xxhash64(own))
-
-    return F.array(*[one(1 << j) for j in range(len(RATES))])
+    # The hash of an empty array is its seed.
+    bits = F.array(*[F.lit(1 << j).cast("long") for j in range(len(RATES))])
+    made = F.transform(
+        bits,
+        lambda bit: F.xxhash64(
+            F.filter(kept, lambda term: term["subsets"].bitwiseAND(bit) != 0)
+        ),
+    )
+    return F.transform(made, lambda h: F.when(h != 42, h))
 
 
 def _as_text(hashes: Column, whole: Column) -> Column:
@@ -161,51 +163,34 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
             for k, c in enumerate(("text", "edited"))
         ]
     )
-    described = texts.select(
-        "key",
-        F.length("text").alias("n_chars"),
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        F.explode(sides).alias("side"),
-    ).select(
-        "key",
-        F.when(F.col("side.edited") == 0, F.col("n_chars")).alias("n_chars"),
-        F.when(F.col("side.edited") == 0, F.col("edited_sha256")).alias("edited_sha256"),
-        F.col("side.edited").alias("edited"),
-        F.col("side.terms").alias("terms"),
+    split = texts.select("key", F.explode(sides).alias("side")).select(
+        "key", F.col("side.edited").alias("edited"), F.explode("side.terms").alias("term")
     )
-    split = described.select(
-        "key",
-        "edited",
-        "n_chars",
-        "edited_sha256",
-        F.xxhash64(F.sort_array("terms")).alias("whole"),
-        F.explode("terms").alias("term"),
-    )
-    met = split.join(band, "term", "left")
-    kept = F.collect_set(F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets")))
     # The documents stay where the join by key has put them.
-    by_side = met.groupBy("key", "edited").agg(
-        F.first("n_chars").alias("n_chars"),
-        F.first("edited_sha256").alias("edited_sha256"),
-        F.first("whole").alias("whole"),
-        F.sort_array(kept).alias("kept"),
+    hashed = (
+        split.join(band, "term")
+        .groupBy("key", "edited")
+        .agg(F.sort_array(F.collect_list(F.struct("term", "subsets"))).alias("kept"))
+        .select("key", "edited", _hashes(F.col("kept")).alias("hashes"))
     )
-    hashed = by_side.select(
-        "key", "edited", "n_chars", "edited_sha256", "whole", _hashes(F.col("kept")).alias("hashes")
+    prints = hashed.groupBy("key").agg(
+        *[
+            F.max(F.when(F.col("edited") == k, F.col("hashes"))).alias(name)
+            for k, name in enumerate(("hashes", "hashes_edited"))
+        ]
     )
-
-    def side(k: int, name: str) -> Column:
-        return F.max(F.when(F.col("edited") == k, F.col(name)))
-
+    empty = F.array_repeat(F.lit(None).cast("long"), len(RATES))
     both = written(
-        hashed.groupBy("key").agg(
-            F.max("n_chars").cast("long").alias("n_chars"),
-            F.max("edited_sha256").alias("edited_sha256"),
-            side(0, "whole").alias("whole"),
-            side(0, "hashes").alias("hashes"),
-            side(1, "whole").alias("whole_edited"),
-            side(1, "hashes").alias("hashes_edited"),
-        ),
+        texts.select(
+            "key",
+            F.length("text").cast("long").alias("n_chars"),
+            F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+            F.xxhash64(F.sort_array(terms(F.col("text")))).alias("whole"),
+            F.xxhash64(F.sort_array(terms(F.col("edited")))).alias("whole_edited"),
+        )
+        .join(prints, "key", "left")
+        .withColumn("hashes", F.coalesce("hashes", empty))
+        .withColumn("hashes_edited", F.coalesce("hashes_edited", empty)),
         "fingerprints",
     )
     following = both.select(
