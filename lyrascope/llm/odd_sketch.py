@@ -12,9 +12,14 @@
    components exactly.  In a larger one each document's two best forest edges are confirmed on
    the full sets first.  Then the documents outside the cluster's largest component meet all of
    the cluster, in blocks against blocks.
+5. Two documents whose buckets are all large may have met in no block.  The documents of a large
+   bucket that is not one component by now are joined exactly: a pair that reaches the threshold
+   shares one of the rarest shingles of either set (prefix filter), and its sizes and the places
+   of the first such shingle leave room for the overlap.  What passes is confirmed on full sets.
 
 So the work is linear in the documents but for those last ones, the only pairs written are
-forest edges and links, and copies are never compared with each other.
+forest edges, links and what passes the filters of step 5, and copies are never compared with
+each other.
 """
 
 from collections.abc import Iterator
@@ -43,6 +48,12 @@ PROPOSE_AT = 0.85 - 4 * (0.85 * 0.15 / SAMPLES) ** 0.5
 # Documents of a bucket that are compared in one task.
 BLOCK = 512
 
+# Slots by which shingles are counted for their order in step 5; any order finds the same pairs.
+SLOTS = 1 << 20
+
+# Rows of one shingle that are joined in one task.
+HEAVY_SHINGLE = 10_000
+
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(0, 1 << 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
 TERMS = _random.integers(0, 1 << 32, SAMPLES, np.uint32)
@@ -420,14 +431,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _forests(reps: DataFrame) -> DataFrame:
+def _buckets(reps: DataFrame) -> DataFrame:
+    """bucket, n and first of the buckets of more than one document."""
+    rows = reps.select("rep", F.explode("bands").alias("bucket"))
+    counted = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
+    return counted.filter("n > 1")
+
+
+def _forests(reps: DataFrame, buckets: DataFrame) -> DataFrame:
     """child, parent and alike: forest edges of all blocks of all buckets."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = (
-        rows.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-        .filter("n > 1")
-    )
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.array(F.pmod(F.xxhash64("rep", "bucket"), n_blocks).cast("int"))
     # The bucket's first document is in all of its blocks.
@@ -439,7 +452,158 @@ def _forests(reps: DataFrame) -> DataFrame:
 
 def _links(texts: DataFrame, reps: DataFrame) -> DataFrame | None:
     """Confirmed links (a, b) between representatives, enough to connect all components."""
-    edges = written(_forests(reps), "forests")
+    buckets = written(_buckets(reps), "buckets")
+    links = _met_links(texts, reps, buckets)
+    large = buckets.filter(F.col("n") > BLOCK).select("bucket")
+    if large.isEmpty():
+        return links
+    rows = reps.select("rep", F.explode("bands").alias("bucket")).join(large, "bucket")
+    if links is None:
+        rows = rows.withColumn("component", F.col("rep"))
+    else:
+        links = written(links, "links")
+        rows = rows.join(components(links), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")
+        )
+    mixed = (
+        rows.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high")
+    )
+    unmet = written(
+        rows.join(mixed, "bucket", "left_semi").select("rep", "component").distinct(), "unmet"
+    )
+    if unmet.isEmpty():
+        return links
+    more = _unmet_links(texts, reps, unmet)
+    return more if links is None else links.unionByName(more)
+
+
+def _counted_slots(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall on each slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column("members"):
+                slots = np.frombuffer(raw.as_py(), np.uint64) % np.uint64(SLOTS)
+                np.add.at(n, slots.astype(np.int64), 1)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["slot", "n"])
+
+    partial = map_arrow(sets.select("members"), count, "slot long, n long")
+    found = partial.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = np.zeros(SLOTS, np.int64)
+    counted[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counted
+
+
+def prefix(members: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set reaching the threshold has one too."""
+    n = len(members)
+    rarity = counted[(members % np.uint64(SLOTS)).astype(np.int64)]
+    return members[np.lexsort((members, rarity))[: n + 1 + -THRESHOLD * n // 100]]
+
+
+def pass_filters(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+    """Pairs of a query row and another whose sizes and places leave room for the overlap.
+
+    Groups of rows (rep, component, query, size, left), where ``left`` is how many shingles of
+    the set do not come before the group's shingle.
+    """
+    rep, component, query, size, left = (
+        table.column(c).to_numpy() for c in ("rep", "component", "query", "size", "left")
+    )
+    firsts, seconds = [], []
+    for a, b in pairwise([0, *ends.tolist()]):
+        asked = a + np.flatnonzero(query[a:b])
+        other = a + np.flatnonzero(~query[a:b])
+        x, y = asked[:, None], other[None, :]
+        room = np.minimum(np.minimum(left[x], left[y]), np.minimum(size[x], size[y]))
+        fits = (100 + THRESHOLD) * room >= THRESHOLD * (size[x] + size[y])
+        i, j = np.nonzero(fits & (component[x] != component[y]))
+        firsts.append(rep[asked[i]])
+        seconds.append(rep[other[j]])
+    one = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
+    two = np.concatenate(seconds) if seconds else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"]
+    )
+
+
+def _blocks_against_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows with row, turn and query: all rows of a key meet all that are ``open``.
+
+    Rows have n and n_open of their key.  A row of the query side is there as one of the others
+    as well.
+    """
+    dealt = rows.withColumn("rows", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+        "turns", F.ceil(F.col("n_open") / BLOCK).cast("int")
+    )
+    row = F.pmod(F.xxhash64("rep", key, F.lit(1)), F.col("rows")).cast("int")
+    turn = F.pmod(F.xxhash64("rep", key, F.lit(2)), F.col("turns")).cast("int")
+    every_row = F.explode(F.sequence(F.lit(0), F.col("rows") - 1))
+    every_turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
+    kept = dealt.select("*", row.alias("row")).select("*", every_turn.alias("turn"))
+    asked = dealt.filter("open").select("*", turn.alias("turn"))
+    asked = asked.select("*", every_row.alias("row"))
+    return kept.withColumn("query", F.lit(False)).unionByName(
+        asked.withColumn("query", F.lit(True))
+    )
+
+
+def _unmet_links(texts: DataFrame, reps: DataFrame, unmet: DataFrame) -> DataFrame:
+    """All links (a, b) between documents (rep, component) of different components."""
+    keyed = reps.select("rep", "n_shingles", "key1").join(unmet, "rep", "left_semi")
+    sets = written(_sets(texts, keyed), "unmet-sets").select("rep", "members")
+    counted = _counted_slots(sets)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_members = [np.frombuffer(m.as_py(), np.uint64) for m in batch.column("members")]
+            rarest = [prefix(m, counted) for m in all_members]
+            sizes = np.array([len(m) for m in all_members], np.int64)
+            lengths = np.array([len(p) for p in rarest], np.int64)
+            places = np.concatenate([np.arange(n) for n in [0, *lengths.tolist()]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *rarest]).view(np.int64)),
+                    pa.array(np.repeat(batch.column("rep").to_numpy(), lengths)),
+                    pa.array(np.repeat(batch.column("component").to_numpy(), lengths)),
+                    pa.array(np.repeat(sizes, lengths)),
+                    pa.array(np.repeat(sizes, lengths) - places),
+                ],
+                ["shingle", "rep", "component", "size", "left"],
+            )
+
+    spec = "shingle long, rep long, component long, size long, left long"
+    rows = written(map_arrow(sets.join(unmet, "rep"), prefixes, spec), "prefixes")
+    shared = (
+        rows.groupBy("shingle", "component")
+        .agg(F.count("*").alias("m"))
+        .groupBy("shingle")
+        .agg(
+            F.sum("m").alias("n"),
+            (F.sum("m") - F.max("m")).alias("n_open"),
+            F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"),
+        )
+        .filter("n_open > 0")
+    )
+    shared = written(shared, "shared")
+    dealt = salted_join(
+        rows, shared, ["shingle"], "rep", counts=shared.select("shingle", "n"),
+        heavy_rows=HEAVY_SHINGLE,
+    ).withColumn("open", F.col("component") != F.col("largest"))
+    met = _blocks_against_blocks(dealt, "shingle")
+    keys = ["shingle", "row", "turn"]
+    met = met.select(*keys, "rep", "component", "query", "size", "left")
+    pairs = _grouped(met, keys, pass_filters, "a long, b long").distinct()
+    return _confirmed(written(pairs, "pairs"), sets)
+
+
+def _met_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame | None:
+    """Confirmed links (a, b) between representatives that met, enough to connect them."""
+    edges = written(_forests(reps, buckets), "forests")
     if edges.isEmpty():
         return None
     ends = edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))

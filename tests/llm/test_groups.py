@@ -68,6 +68,46 @@ def test_large_groups_and_chains(spark, monkeypatch):
     check_components(spark, rows)
 
 
+def test_near_copies_whose_buckets_are_all_large(spark, monkeypatch):
+    # Passages that many longer documents embed, and two documents of little but the passage.
+    rows = []
+    for p in range(4):
+        passage = [f"p{p}x{k}" for k in range(60)]
+        for k in range(250):
+            own = [f"o{p}x{k}x{i}" for i in range(30)]
+            rows.append((1000 * p + k, " ".join(passage + own)))
+        rows += [(1000 * p + 900 + k, " ".join([*passage, *[f"e{p}x{k}"] * 4])) for k in range(2)]
+    monkeypatch.setattr(odd_sketch, "BLOCK", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(odd_sketch.near_duplicates(df))
+    joined = {d: r["component_id"] for d, r in got.items() if r["component_id"] != d}
+    assert joined == {1000 * p + 901: 1000 * p + 900 for p in range(4)}
+
+
+def test_prefixes_and_filters_keep_all_links():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in range(150)]
+    sets += [np.setdiff1d(s, s[:1]) for s in sets if len(s) > 1]
+    counted = np.bincount(np.concatenate(sets).astype(np.int64), minlength=odd_sketch.SLOTS)
+    rows = sorted(
+        (int(v), i, bool(q), len(s), len(s) - place)
+        for i, s in enumerate(sets)
+        for place, v in enumerate(odd_sketch.prefix(s, counted))
+        for q in (False, True)
+    )
+    columns = dict(zip(("shingle", "rep", "query", "size", "left"), zip(*rows, strict=True), strict=True))
+    table = pa.table({k: list(v) for k, v in columns.items()} | {"component": list(columns["rep"])})
+    made = odd_sketch.pass_filters(table, odd_sketch.group_ends(table, ["shingle"])).to_pydict()
+    pairs = set(zip(made["a"], made["b"], strict=True))
+    for b, v in enumerate(sets):
+        for a, u in enumerate(sets[:b]):
+            assert not odd_sketch.reaches(u, v) or (a, b) in pairs
+    assert len(pairs) < len(sets) * (len(sets) - 1) / 2
+
+
 def test_no_documents_and_no_links(spark):
     assert odd_sketch.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (2, "g h i j k l"), (3, None)]
