@@ -2,7 +2,8 @@
 
 The lexicon holds the terms of a band of inverse document frequency.  A fingerprint is one hash
 for each of several random subsets of the lexicon: that of the document's distinct terms in the
-subset, in sorted order.  Coarse subsets tell short documents apart, fine ones show how much
+subset, in sorted order.  Wide subsets leave out one part of the lexicon each, so that every term
+of the band is in all of them but one.  Coarse subsets tell short documents apart, fine ones show how much
 two long documents share; the likeness of two fingerprints is the share of equal hashes among
 the subsets that either document has a term of.
 """
@@ -15,11 +16,16 @@ from lyrascope.llm.shared import written
 # Documents with a term, as a share of all: the band of the lexicon.
 LEAST, MOST = 1 / 2048, 1 / 8
 
-# A subset takes one of so many terms, by subset.
+# Wide subsets, by their number the part of the lexicon that is left out.
+WIDE = 4
+
+# A narrow subset takes one of so many terms, by subset.
 RATES = [32] * 8 + [128] * 8 + [512] * 8
 
+SUBSETS = WIDE + len(RATES)
+
 # Lexicon rows (a term and a number, about 50 bytes) that may be broadcast.  The lexicon has at
-# most (mean distinct terms of a document) / LEAST of them, and a quarter of these are in a subset.
+# most (mean distinct terms of a document) / LEAST of them.
 BROADCAST_ROWS = 300_000
 
 # Stands for a NULL doc_id in joins.
@@ -34,29 +40,40 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """term and subsets (one bit for each) of the band's terms in any subset, from all texts."""
+    """term and subsets (one bit for each) of the band's terms, from all texts."""
     n = texts.count()
     # An outer explode: the plain one adds a filter that splits the text a second time.
     found = texts.select(F.explode_outer(terms(F.col("text"))).alias("term"))
     counts = found.groupBy("term").agg(F.count("*").alias("n"))
     bits = F.lit(0).cast("long")
-    for j, rate in enumerate(RATES):
-        drawn = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(rate))
-        bits = bits.bitwiseOR(F.when(drawn == 0, F.lit(1 << j)).otherwise(0).cast("long"))
+    part = F.pmod(F.xxhash64("term", F.lit(len(RATES))), F.lit(WIDE))
+    drawn = [part != j for j in range(WIDE)]
+    drawn += [
+        F.pmod(F.xxhash64("term", F.lit(j)), F.lit(rate)) == 0 for j, rate in enumerate(RATES)
+    ]
+    for j, taken in enumerate(drawn):
+        bits = bits.bitwiseOR(F.when(taken, F.lit(1 << j)).otherwise(0).cast("long"))
     in_band = (F.col("term") != "") & (F.col("n") >= least * n) & (F.col("n") <= most * n)
-    return counts.filter(in_band).select("term", bits.alias("subsets")).filter("subsets <> 0")
+    return counts.filter(in_band).select("term", bits.alias("subsets"))
 
 
 def _hashes(kept: Column) -> Column:
     """One hash per subset of sorted (term, subsets), NULL for a subset without a term."""
+    # Few terms are in a narrow subset.
+    narrow = F.filter(kept, lambda term: term["subsets"] >= 1 << WIDE)
+
+    def hashed(own: Column, numbers: range) -> Column:
+        return F.transform(
+            F.array(*[F.lit(1 << j).cast("long") for j in numbers]),
+            lambda bit: F.xxhash64(
+                F.filter(own, lambda term: term["subsets"].bitwiseAND(bit) != 0)
+            ),
+        )
+
+    # As a lambda's variable the narrow part is filtered once, not for every subset.
+    fine = F.transform(F.array(narrow), lambda own: hashed(own, range(WIDE, SUBSETS)))
+    made = F.concat(hashed(kept, range(WIDE)), F.flatten(fine))
     # The hash of an empty array is its seed.
-    bits = F.array(*[F.lit(1 << j).cast("long") for j in range(len(RATES))])
-    made = F.transform(
-        bits,
-        lambda bit: F.xxhash64(
-            F.filter(kept, lambda term: term["subsets"].bitwiseAND(bit) != 0)
-        ),
-    )
     return F.transform(made, lambda h: F.when(h != 42, h))
 
 
@@ -179,7 +196,7 @@ def fingerprints(docs: DataFrame, least: float = LEAST, most: float = MOST) -> D
             for k, name in enumerate(("hashes", "hashes_edited"))
         ]
     )
-    empty = F.array_repeat(F.lit(None).cast("long"), len(RATES))
+    empty = F.array_repeat(F.lit(None).cast("long"), SUBSETS)
     both = written(
         texts.select(
             "key",

@@ -151,6 +151,21 @@ def test_edited_texts_and_likeness(spark):
     assert mean[0] > mean[1]
 
 
+def test_every_term_of_the_band_reaches_the_fingerprint(spark):
+    common = " ".join(f"c{k}" for k in range(40))
+    texts = [f"{common} own{i}" for i in range(60)]
+    rows = [(i, text) for i, text in enumerate(texts * 2)]
+    rows += [(1000 + i, f"x{i}") for i in range(200)]  # so that common terms are in the band
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    band = i_match.lexicon(docs, 1 / 200, 1 / 2).collect()
+    wide = [r["subsets"] & (1 << i_match.WIDE) - 1 for r in band]
+    assert {r["term"] for r in band} == {t for text in texts for t in text.split()}
+    assert all(w.bit_count() == i_match.WIDE - 1 for w in wide)
+    got = by_id(i_match.fingerprints(docs, 1 / 200, 1 / 2))
+    assert len({got[i]["fingerprint"] for i in range(60)}) == 60
+    assert all(got[i]["fingerprint"] == got[i + 60]["fingerprint"] for i in range(60))
+
+
 def test_fingerprints_use_no_python(spark):
     plan = i_match.fingerprints(frame(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
