@@ -11,6 +11,7 @@ from lyrascope.llm import (
     merge_dropout,
     odd_sketch,
     pfair_mixing,
+    prefix_trie,
     quality_crf,
     weak_rules,
 )
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("ref")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES = {
         op8_fingerprints,
         op9_near_duplicates,
         op10_token_counts,
+        op13_prefix_trie,
     )
 }
 
@@ -113,5 +119,56 @@ reach(x, y) as (
 component as (select x as doc_id, min(y) as component_id from reach group by x)
 select w.doc_id, coalesce(n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
 from word w left join size using (doc_id) join component using (doc_id)
+""",
+    # DuckDB has no crc32: a byte is added, then the sum is shifted eight times.
+    "op13_prefix_trie": r"""
+with turn as (
+  select conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t,
+         row_number() over (partition by conv_id order by turn nulls first) as place
+  from conversations where conv_id is not null
+),
+own as (select conv_id, list(t order by place) as ts from turn group by conv_id),
+headed as (
+  select *, conv_id - conv_id % 100 as base, xor(list_reduce(
+    list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''),
+      lambda c: list_concat([ord(c)::bigint], list_transform(range(8), lambda i: -1::bigint))))),
+    lambda a, x: case when x >= 0 then xor(a, x)
+                      else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 6 as h
+  from own
+),
+built as (
+  select a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) as ts
+  from headed a left join own b on b.conv_id = a.base
+),
+member as (
+  select conv_id, unnest(range(0, len(ts) + 1)) as depth, ts from built
+),
+path as (
+  select conv_id, depth, ts[1:depth] as path, len(ts) = depth as is_end,
+         case when depth > 0 then ts[1:depth - 1] end as up,
+         coalesce(len(ts[depth].text), 0) as n_chars
+  from member
+),
+node as (
+  select path, any_value(up) as up, any_value(depth) as depth, min(conv_id) as conv_id,
+         count(*) as n_convs, any_value(n_chars) as n_chars,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id)
+                         filter (where is_end), '')) as ends_sha256
+  from path group by path
+),
+child as (select up as path, count(*) as n_children from node where up is not null group by up),
+above as (
+  select path as below, n_chars * (n_convs - 1) as saved, n_children is null as leaf,
+         path[1:unnest(range(0, depth + 1))] as path
+  from node left join child using (path)
+),
+total as (
+  select path, sum(saved)::bigint as saved_tokens, count(*) filter (where leaf) as n_leaves
+  from above group by path
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs,
+       coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, n.ends_sha256
+from node n join total using (path) left join child using (path)
+left join node p on p.path = n.up
 """,
 }
