@@ -13,6 +13,7 @@ from lyrascope.llm import (
     pfair_mixing,
     prefix_trie,
     quality_crf,
+    recompression,
     weak_rules,
 )
 from lyrascope.llm.shared import new_path
@@ -70,6 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digests(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("ref")
 
@@ -87,6 +92,7 @@ QUERIES = {
         op8_fingerprints,
         op9_near_duplicates,
         op10_token_counts,
+        op12_substring_dedup,
         op13_prefix_trie,
     )
 }
@@ -119,6 +125,32 @@ reach(x, y) as (
 component as (select x as doc_id, min(y) as component_id from reach group by x)
 select w.doc_id, coalesce(n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
 from word w left join size using (doc_id) join component using (doc_id)
+""",
+    "op12_substring_dedup": r"""
+with word as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda w: w <> '') as w
+  from documents
+),
+win as (
+  select doc_id, unnest(range(1, len(w) - 11)) as i, array_to_string(w[i:i + 12], ' ') as key
+  from word
+),
+covered as (
+  select distinct doc_id, unnest(range(i, i + 13)) as i
+  from (select *, min(doc_id) over (partition by key) as smallest from win)
+  where smallest < doc_id
+),
+gone as (select doc_id, count(*) as n_removed from covered group by doc_id),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as kept
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from word)
+  anti join covered using (doc_id, i)
+  group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from word left join gone using (doc_id) left join kept using (doc_id)
 """,
     # DuckDB has no crc32: a byte is added, then the sum is shifted eight times.
     "op13_prefix_trie": r"""
