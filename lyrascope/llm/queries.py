@@ -14,6 +14,7 @@ from lyrascope.llm import (
     prefix_trie,
     quality_crf,
     recompression,
+    token_alignment,
     weak_rules,
 )
 from lyrascope.llm.shared import new_path
@@ -71,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digests(documents(spark, sf_dir))
 
@@ -92,6 +97,7 @@ QUERIES = {
         op8_fingerprints,
         op9_near_duplicates,
         op10_token_counts,
+        op11_token_alignment,
         op12_substring_dedup,
         op13_prefix_trie,
     )
