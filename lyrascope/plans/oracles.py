@@ -481,3 +481,6 @@ select cast(x.dimension as integer) as i, cast(y.dimension as integer) as j,
 from normed x join normed y on x.vec_id = y.vec_id and x.dimension <= y.dimension
 group by x.dimension, y.dimension""",
 }
+
+# The model of two merged parts is that of the whole.
+ORACLES["topic_model_reload"] = ORACLES["topic_distribution"]

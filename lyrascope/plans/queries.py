@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyrascope.operators import agreement, corpus, quality, reduction, repeats, topics, tuning
+from lyrascope.operators.topic_store import TopicStore
 from lyrascope.plans import standins
-from lyrascope.session import materialise
+from lyrascope.session import materialise, scratch_path
 from lyrascope.sources import annotations
 
 
@@ -298,6 +299,18 @@ def topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(topics.topic_distribution(_scores(spark, sf_dir)[2]))
 
 
+def topic_model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution of all texts by a model that was saved in two parts and loaded."""
+    docs = standins.topic_documents(spark, sf_dir, standins.topics(spark, sf_dir))
+    path = scratch_path(spark)
+    for half in (0, 1):
+        part = docs.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+        TopicStore(spark, path).update({f"half {half}": part})
+    model = TopicStore(spark, path).load()
+    scores = topics.topic_scores(docs.select("id", "text"), model)
+    return rounded(topics.topic_distribution(scores))
+
+
 def topic_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     info, model, scores = _scores(spark, sf_dir)
     assigned = topics.assign_topics(scores)
@@ -489,6 +502,7 @@ QUERIES = {
         topic_terms,
         topic_scores_heldout,
         topic_distribution,
+        topic_model_reload,
         topic_assign,
         topic_summary,
         topic_wide,

@@ -37,6 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which is deleted when the session ends."""
+    path = f"{shared_folder(spark)}/lyrascope/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    place.getFileSystem(configuration).deleteOnExit(place)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a (narrow) intermediate table to the shared folder and continue from there.
 
@@ -45,10 +54,7 @@ def materialise(df: DataFrame) -> DataFrame:
     and have a known size.  The table is deleted when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lyrascope/{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    place.getFileSystem(configuration).deleteOnExit(place)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
