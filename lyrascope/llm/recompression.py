@@ -257,13 +257,19 @@ def _blocks(settings: Settings):
                 edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 names, run_name = np.unique(of[edge], return_inverse=True)
                 run_length = np.diff(np.r_[edge, len(of)])
+            # Frequent words get small codes, whose upper bytes compress to little.
+            order = np.argsort(-np.bincount(w.codes, minlength=len(raw)), kind="stable")
+            rank = np.empty(len(raw), np.int32)
+            rank[order] = np.arange(len(raw))
             row = {
                 "block": task << 32 | number,
                 "doc_ids": squeeze(ids.fill_null(0).to_numpy()),
                 "known": known.tobytes(),
                 "offsets": squeeze(w.offsets.astype(np.int64)),
-                "codes": squeeze(w.codes.astype(np.int32)),
-                "distinct": zstandard.ZstdCompressor(level=1).compress(b" ".join(raw)),
+                "codes": squeeze(rank[w.codes]),
+                "distinct": zstandard.ZstdCompressor(level=1).compress(
+                    b" ".join([raw[i] for i in order])
+                ),
                 "run_name": squeeze(run_name.astype(np.int32)),
                 "run_length": squeeze(run_length.astype(np.int32)),
                 "names": _steps(names),
@@ -404,7 +410,7 @@ class Block:
         owner = np.repeat(np.arange(len(self.doc_ids)), np.diff(self.offsets))
         run_name = expand(row["run_name"], np.int32)
         run_length = expand(row["run_length"], np.int32)
-        shared = _bits(row["answers"], len(_summed(row["names"])))
+        shared = _bits(row["answers"], row["n_names"])
         first = np.cumsum(run_length) - run_length
         # An anchor in two runs may be in two documents of the block.
         shared |= np.bincount(run_name, minlength=len(shared)) > 1
@@ -437,10 +443,14 @@ def _bits(answers: list[dict] | None, n: int) -> np.ndarray:
     return made
 
 
-def _joined(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """Blocks with all answers they got, by part."""
+def _by_block(answers: DataFrame, name: str) -> DataFrame:
+    """All answers that a block got, by part.
+
+    They are a bit per name, written so that Spark knows their size and broadcasts them to the
+    blocks while they are few; else blocks and answers meet in a shuffle.
+    """
     items = F.sort_array(F.collect_list(F.struct("part", "n", "bits")))
-    return blocks.join(answers.groupBy("block").agg(items.alias(name)), "block", "left")
+    return written(answers.groupBy("block").agg(items.alias(name)), name)
 
 
 def _kept(block: Block, covered: np.ndarray) -> pa.RecordBatch:
@@ -539,12 +549,12 @@ def remove_repeats(
                 yield _kept(block, np.cumsum(change[:-1]) > 0)
 
     named = map_arrow(blocks.select("block", "names"), ask, REQUEST)
-    shared = written(_answered(named, parts, _elsewhere), "shared")
-    candidates = _joined(blocks, shared, "answers")
+    answers = _by_block(_answered(named, parts, _elsewhere), "answers")
+    candidates = blocks.drop("names").join(answers, "block", "left")
     windows = map_arrow(candidates, ask_windows, REQUEST)
-    verdicts = written(_answered(windows, window_parts, _earlier), "verdicts")
+    verdicts = _by_block(_answered(windows, window_parts, _earlier), "verdicts")
     return map_arrow(
-        _joined(candidates, verdicts, "verdicts"),
+        candidates.join(verdicts, "block", "left"),
         remove,
         "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept string",
     )
