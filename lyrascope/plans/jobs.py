@@ -16,7 +16,17 @@ from lyrascope.constants import (
     SEED,
     VARIANCE_TARGET,
 )
-from lyrascope.operators import agreement, corpus, quality, reduction, repeats, topics, tuning
+from lyrascope.operators import (
+    agreement,
+    corpus,
+    lda,
+    lda_runs,
+    quality,
+    reduction,
+    repeats,
+    topics,
+    tuning,
+)
 from lyrascope.session import materialise
 from lyrascope.sinks import features as feature_sinks
 from lyrascope.sinks import reports
@@ -140,22 +150,29 @@ def run_topic_models(
     tuning_repeats: int = 1,
     n_models: int = NUM_MODELS,
     seed: int = SEED,
-    max_iter: int = 20,
-) -> tuning.Runs:
-    """Tune the number of topics on a CSV corpus and run the models with the best one."""
+    max_iter: int = lda_runs.MAX_ITER,
+) -> DataFrame:
+    """Tune the number of topics on a CSV corpus and run the models with the best one.
+
+    Finished settings and models are kept in ``out``/models, and a job that is started again
+    goes on from there.  Returns the record of the runs.
+    """
     wanted = [id_col, text_col] + ([label_col] if label_col else [])
     table = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     docs = corpus.clean_corpus(table.csv(path).select(*wanted), text_col)
     prepared = tuning.prepare_corpus(docs, text_col, id_col, label_col, seed=seed)
-    grid = tuning.tune_topics(spark, prepared, topic_numbers, tuning_repeats, seed, max_iter)
-    means = tuning.mean_perplexity(grid)
-    means.write.mode("overwrite").parquet(f"{out}/tuning")
-    runs = tuning.run_models(
-        spark, prepared, tuning.best_topics(grid), n_models, seed=seed, max_iter=max_iter
-    )
-    runs.record.write.mode("overwrite").parquet(f"{out}/runs")
+    folder = lda_runs.RunFolder(lda.deal(prepared.rows), f"{out}/models", max_iter)
+    grid = folder.tune(topic_numbers, repeats=tuning_repeats, seed=seed)
+    chosen = lda_runs.choose_topics(folder, lda_runs.compare_topics(grid), seed)
+    chosen.write.mode("overwrite").parquet(f"{out}/tuning")
+    k = chosen.filter("is_chosen").first()["n_topics"]
+    record = folder.run(k, n_models, seed=seed)
+    record.write.mode("overwrite").parquet(f"{out}/runs")
     if label_col:
-        tuning.model_similarity(runs, prepared).write.mode("overwrite").parquet(
-            f"{out}/similarity"
-        )
-    return runs
+        seeds = [r["seed"] for r in record.filter("is_kept").collect()]
+        theta = materialise(folder.theta(k, seeds))
+        lda_runs.label_similarities(theta).write.mode("overwrite").parquet(f"{out}/similarity")
+        lda_runs.run_similarity(theta, lda_runs.reference_run(record), k).write.mode(
+            "overwrite"
+        ).parquet(f"{out}/run_similarity")
+    return record

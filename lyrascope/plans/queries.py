@@ -1,10 +1,22 @@
 """The registered queries: operators applied to the driver tables."""
 
+from functools import cache
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyrascope.operators import agreement, corpus, quality, reduction, repeats, topics, tuning
+from lyrascope.operators import (
+    agreement,
+    corpus,
+    lda,
+    lda_runs,
+    quality,
+    reduction,
+    repeats,
+    topics,
+    tuning,
+)
 from lyrascope.operators.topic_store import TopicStore
 from lyrascope.plans import standins
 from lyrascope.session import materialise, scratch_path
@@ -453,19 +465,54 @@ def lda_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tuning_corpus(spark, sf_dir).rows.select("id", "label", "fold", "n_words")
 
 
+@cache
+def _run_folder(spark: SparkSession, application: str, sf_dir: str) -> lda_runs.RunFolder:
+    """What has been worked out in this application; the tuning queries share it."""
+    rows = _tuning_corpus(spark, sf_dir).rows
+    return lda_runs.RunFolder(lda.deal(rows), scratch_path(spark))
+
+
+def _folder(spark, sf_dir) -> lda_runs.RunFolder:
+    return _run_folder(spark, spark.sparkContext.applicationId, sf_dir)
+
+
+def _best(spark, sf_dir) -> tuple[lda_runs.RunFolder, DataFrame, int]:
+    folder = _folder(spark, sf_dir)
+    chosen = lda_runs.choose_topics(folder, lda_runs.compare_topics(folder.tune()))
+    return folder, chosen, chosen.filter("is_chosen").first()["n_topics"]
+
+
 def lda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = tuning.tune_topics(spark, _tuning_corpus(spark, sf_dir), [2, 4])
-    return tuning.mean_perplexity(grid)
+    """The whole grid: 2 to 20 topics, five folds each."""
+    return lda_runs.compare_topics(_folder(spark, sf_dir).tune())
+
+
+def lda_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir)[1]
+
+
+def lda_runs_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the best number of topics, as many as models are wanted, and outliers."""
+    folder, _, k = _best(spark, sf_dir)
+    return folder.run(k)
+
+
+def _kept_theta(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
+    folder, _, k = _best(spark, sf_dir)
+    record = folder.run(k)
+    seeds = [r["seed"] for r in record.filter("is_kept").collect()]
+    return record, materialise(folder.theta(k, seeds)), k
 
 
-def lda_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.run_models(spark, _tuning_corpus(spark, sf_dir), 4, 3).record
+def run_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run's topics of a label against those of the run of lowest perplexity."""
+    record, theta, k = _kept_theta(spark, sf_dir)
+    return lda_runs.run_similarity(theta, lda_runs.reference_run(record), k)
 
 
 def model_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tuning_corpus(spark, sf_dir)
-    runs = tuning.run_models(spark, rows, 4, 2)
-    return tuning.model_similarity(runs, rows)
+    """Similarity of every two labels in every kept run."""
+    return lda_runs.label_similarities(_kept_theta(spark, sf_dir)[1])
 
 
 QUERIES = {
@@ -519,7 +566,9 @@ QUERIES = {
         pca_whiten_covariance,
         lda_corpus,
         lda_grid,
-        lda_runs,
+        lda_best,
+        run_similarity,
         model_similarity,
     )
 }
+QUERIES["lda_runs"] = lda_runs_record

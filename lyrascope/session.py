@@ -46,6 +46,14 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this session wrote below the shared folder and needs no more."""
+    if not path.startswith(f"{shared_folder(spark)}/lyrascope/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a (narrow) intermediate table to the shared folder and continue from there.
 

@@ -179,9 +179,14 @@ def test_topic_number_tuning(spark, tmp_path):
     grid = spark.read.parquet(f"{out}/tuning").collect()
     assert sorted(r.n_topics for r in grid) == [2, 3] and all(r.n_fits == 5 for r in grid)
     assert sum(r.is_best for r in grid) == 1
-    assert len(runs.models) == 2
+    assert runs.filter("is_kept").count() == 2
     record = spark.read.parquet(f"{out}/runs")
     assert record.filter("is_kept").count() == 2
     similarity = spark.read.parquet(f"{out}/similarity").collect()
     assert [(r.label_a, r.label_b) for r in similarity] == [("a", "b")] * 2
     assert all(0 <= r.similarity <= 1 + 1e-9 for r in similarity)
+    by_run = spark.read.parquet(f"{out}/run_similarity").collect()
+    assert sorted((r.seed, r.label, r.n_texts) for r in by_run) == [
+        (42, "a", 10), (42, "b", 10), (43, "a", 10), (43, "b", 10),
+    ]
+    assert all(0 <= r.similarity <= 1 + 1e-9 for r in by_run)
