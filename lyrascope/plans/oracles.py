@@ -482,5 +482,53 @@ from normed x join normed y on x.vec_id = y.vec_id and x.dimension <= y.dimensio
 group by x.dimension, y.dimension""",
 }
 
+ORACLES["export_read_back"] = f"""{BASE}
+select s.language, cast(position as integer) as position, cast(s.text_id as integer) as text_id,
+       'song ' || s.text_id || ' of "textId" {{' as title,
+       cast(any_value(rating_1) as integer) as overall_rating,
+       any_value(unusual_language) as unusual_language, cast(count(w.pos) as integer) as n_words,
+       cast(count(*) filter (status_1 = 'wrong') as integer) as n_wrong,
+       cast(coalesce(sum(length(word)), 0) as integer) as n_letters
+from songs s left join words w on s.text_id = w.text_id
+group by s.language, position, s.text_id"""
+
+ORACLES["corpus_read_back"] = """
+select 'd' || doc_id as item_id, cast(length(text) as integer) as n_chars, md5(text) as text_md5
+from documents"""
+
+ORACLES["ids_read_back"] = f"""with {CORPUS}
+select 'd' || doc_id as item_id, 'd' || doc_id not in (select item_id from cleaned) as is_missing
+from labels"""
+
+ORACLES["probabilities_read_back"] = f"""with {SCORES},
+topic_list as (select topic_id from topic)
+select cast(l.id as varchar) as id, assigned_topic, topic_label,
+       cast(count(*) over (partition by l.id) as integer) as n_topics,
+       round(cast(has_mass as integer), 3)::double as total,
+       cast(t.topic_id as integer) as topic_id,
+       round(cast(cast(round(coalesce(prob, 0.0), 6) as float) as double), 6) as prob
+from labelled l cross join topic_list t
+left join distribution d on d.id = l.id and d.topic_id = t.topic_id"""
+
+ORACLES["summary_read_back"] = ORACLES["topic_summary"].replace(
+    "select id,", "select cast(id as varchar) as id,"
+)
+
+ORACLES["pca_report_facts"] = f"""with {NORMED},
+cov as (
+  select x.dimension as i, y.dimension as j, covar_samp(x.value, y.value) as c
+  from normed x join normed y on x.vec_id = y.vec_id group by all
+),
+total as (select sum(c) as t, count(*) as n from cov where i = j),
+square as (
+  select a.i, b.j, sum(a.c * b.c) as c from cov a join cov b on a.j = b.i group by a.i, b.j
+)
+select n as n_components, n as last_component, 1.0::double as cumulative,
+       (select round(sum(c * c) / (t * t), 8) from cov) as squares,
+       (select round(sum(s.c * v.c) / (t * t * t), 8)
+        from square s join cov v on s.i = v.i and s.j = v.j) as cubes,
+       true as descending, true as target_passed, true as none_to_spare, true as numbered
+from total"""
+
 # The model of two merged parts is that of the whole.
 ORACLES["topic_model_reload"] = ORACLES["topic_distribution"]

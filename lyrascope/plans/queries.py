@@ -3,9 +3,10 @@
 from functools import cache
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lyrascope.constants import VARIANCE_TARGET
 from lyrascope.operators import (
     agreement,
     corpus,
@@ -20,7 +21,8 @@ from lyrascope.operators import (
 from lyrascope.operators.topic_store import TopicStore
 from lyrascope.plans import standins
 from lyrascope.session import materialise, scratch_path
-from lyrascope.sources import annotations
+from lyrascope.sinks import features
+from lyrascope.sources import annotations, corpora
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -269,6 +271,78 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.stratified_folds(docs, "doc_id", "lang")
 
 
+# Files written from the tables and read back
+
+
+def export_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs of one multi-line export per language, read in splits."""
+    path = scratch_path(spark)
+    standins.write_exports(spark, sf_dir, path)
+    language = F.regexp_extract("file", "language=([^/]+)/", 1)
+    songs = annotations.read_split_songs(spark, [path], language)
+    letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w["word"]))
+    return songs.select(
+        "language",
+        "position",
+        "text_id",
+        "title",
+        "overall_rating",
+        "unusual_language",
+        F.size("words").alias("n_words"),
+        F.size(F.filter("words", lambda w: w["status"] == "wrong")).alias("n_wrong"),
+        letters.alias("n_letters"),
+    )
+
+
+def corpus_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of CSV files with different headers."""
+    path = scratch_path(spark)
+    standins.write_corpus(spark, sf_dir, path)
+    texts = corpora.read_corpus(spark, path)
+    return texts.select(
+        "item_id", F.length("translation").alias("n_chars"), F.md5("translation").alias("text_md5")
+    )
+
+
+def ids_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a published list, with those that the corpus lacks."""
+    path = scratch_path(spark)
+    standins.id_list(spark, sf_dir).withColumn("note", F.lit('a, "b"')).write.options(
+        header=True, escape='"'
+    ).csv(path)
+    ids = corpora.read_id_list(spark, path)
+    missing = corpus.missing_from_corpus(corpus_clean(spark, sf_dir), ids).withColumn(
+        "is_missing", F.lit(True)
+    )
+    return ids.join(missing, "item_id", "left").select(
+        "item_id", F.coalesce("is_missing", F.lit(False)).alias("is_missing")
+    )
+
+
+def probabilities_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic probabilities as a file holds them, and the L1 norm of every row."""
+    path = scratch_path(spark)
+    features.write_probabilities(topic_wide(spark, sf_dir), path)
+    rows = reduction.wide_to_features(corpora.read_features(spark, path))
+    total = F.aggregate("features", F.lit(0.0), lambda n, x: n + F.abs(x))
+    return rows.select(
+        "id",
+        "assigned_topic",
+        "topic_label",
+        F.size("features").alias("n_topics"),
+        F.round(total, 3).alias("total"),
+        F.posexplode("features").alias("topic_id", "prob"),
+    ).withColumn("prob", F.round("prob", 6))
+
+
+def summary_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic summary from its CSV file."""
+    path = scratch_path(spark)
+    features.write_summary(topic_summary(spark, sf_dir), path)
+    schema = "id string, assigned_topic int, topic_label string, top_topic_prob double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 # Topics
 
 
@@ -392,6 +466,38 @@ def pca_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduction.variance_report(spark, fitted))
 
 
+def pca_report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say about the variance report of all components, and of the kept ones.
+
+    The sums of the ratios' squares and cubes are those of the covariance matrix, as they do
+    not depend on the axes; the report's own columns are checked row by row.
+    """
+    rows = _normed(spark, sf_dir)
+    whole = reduction.fit_reduction(rows, 1.0)
+    kept = reduction.fit_reduction(rows)
+    ratio, running = F.col("explained_variance_ratio"), F.col("cumulative_variance")
+    before = F.lag("explained_variance_ratio").over(Window.orderBy("component"))
+    # One row per component.
+    checked = reduction.variance_report(spark, whole).withColumn("before", before)
+    facts = checked.agg(
+        F.count("*").alias("n_components"),
+        F.max("component").cast("long").alias("last_component"),
+        F.round(F.max("cumulative_variance"), 6).alias("cumulative"),
+        F.round(F.sum(ratio * ratio), 8).alias("squares"),
+        F.round(F.sum(ratio * ratio * ratio), 8).alias("cubes"),
+        F.bool_and(F.coalesce(ratio <= F.col("before") + 1e-12, F.lit(True))).alias("descending"),
+    )
+    last_two = reduction.variance_report(spark, kept).agg(
+        (F.max(running) > VARIANCE_TARGET).alias("target_passed"),
+        (F.max(running - ratio) <= VARIANCE_TARGET).alias("none_to_spare"),
+        (F.max("component") == kept.n_components).alias("numbered"),
+    )
+    # Two rows of facts side by side.
+    return facts.withColumns(
+        {c: F.lit(v) for c, v in last_two.first().asDict().items()}
+    )
+
+
 def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _normed(spark, sf_dir)
     fitted = reduction.fit_reduction(rows)
@@ -542,6 +648,11 @@ QUERIES = {
         corpus_dropped,
         subset_semi,
         subset_missing,
+        export_read_back,
+        corpus_read_back,
+        ids_read_back,
+        probabilities_read_back,
+        summary_read_back,
         content_words,
         content_out_of_range,
         stratified_folds,
@@ -558,6 +669,7 @@ QUERIES = {
         l1_normalise,
         covariance,
         pca_report,
+        pca_report_facts,
         pca_reduce,
         pca_whiten,
         pca_total_variance,

@@ -232,3 +232,44 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.col("embedding").alias("features")
     )
+
+
+def write_exports(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The songs of annotator 1 as one multi-line export per language, in ``language=...``.
+
+    Every file is written by one task, as it has to be one file; songs stay rows on the way.
+    """
+    listed = number_songs(songs(spark, sf_dir))
+    record = F.struct(
+        F.col("text_id").alias("textId"),
+        F.concat(F.lit("song "), "text_id", F.lit(' of "textId" {')).alias("title"),
+        F.col("overall_rating").alias("overallRating"),
+        F.col("unusual_language").alias("unusualLanguage"),
+        "words",
+    )
+    comma = F.when(F.col("position") > 1, ",\n").otherwise("\n")
+    lines = listed.select("language", "position", F.concat(comma, F.to_json(record)).alias("value"))
+    languages = listed.select("language").distinct()
+    opening = F.concat(F.lit('{"language": "'), "language", F.lit('",\n "evaluations": ['))
+    head = languages.select("language", F.lit(0).cast("long").alias("position"), opening.alias("value"))
+    tail = languages.select("language", F.lit(1 << 62).alias("position"), F.lit("\n]}").alias("value"))
+    (
+        head.unionByName(lines)
+        .unionByName(tail)
+        .repartition("language")
+        .sortWithinPartitions("language", "position")
+        .select("language", "value")
+        .write.partitionBy("language")
+        .text(path)
+    )
+
+
+def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The documents as CSV files with a header, those of two languages in another order."""
+    docs = documents(spark, sf_dir).select(
+        F.concat(F.lit("d"), "doc_id").alias("item_id"), F.col("text").alias("translation"), "lang"
+    )
+    turned = F.col("lang").isin("de", "fr")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for rows in (docs.filter(~turned), docs.filter(turned).select("lang", "translation", "item_id")):
+        rows.write.mode("append").options(header=True, escape='"', **kept).csv(path)
