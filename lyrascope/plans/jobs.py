@@ -56,8 +56,8 @@ def evaluate_translations(
     kappas = agreement.self_agreement(agreement.statuses(songs), listed)
     report = quality.language_report(rows, agreement.self_agreement_by_language(kappas))
     points = quality.song_points(repeats.exclude_repeats(counts, listed), offsets)
-    reports.write_quality_report(report, quality.unusual_distribution(rows), out)
-    points.write.mode("overwrite").parquet(f"{out}/song_points")
+    levels = quality.unusual_distribution(rows)
+    reports.write_quality_report(report, levels, out, song_points=points)
     return report
 
 

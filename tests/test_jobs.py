@@ -5,6 +5,8 @@ import json
 import pytest
 
 from lyrascope.plans import jobs
+from lyrascope.sinks import reports
+from lyrascope.sinks.versions import read_table
 from lyrascope.sources import annotations
 
 
@@ -73,7 +75,7 @@ def test_translation_report(spark, root, tmp_path):
     out = str(tmp_path / "out")
     repeated = {"cs": (3, 5)}
     jobs.evaluate_translations(spark, root, FILES, out, ["cs", "nl"], repeated)
-    text = "\n".join(r.value for r in spark.read.text(f"{out}/text").collect())
+    text = "\n".join(r.value for r in read_table(spark, out, "text").collect())
     assert text == "\n".join(
         [
             "Machine Translation Evaluation Results",
@@ -102,7 +104,13 @@ def test_translation_report(spark, root, tmp_path):
             "",
         ]
     )
-    points = spark.read.parquet(f"{out}/song_points").orderBy("language", "text_id").collect()
+    # A second report whose later tables fail leaves the first one as it is.
+    report, levels = (read_table(spark, out, n) for n in ("report", "unusual_language"))
+    broken = report.selectExpr("raise_error('no points') AS language")
+    with pytest.raises(Exception, match="no points"):
+        reports.write_quality_report(report.limit(1), levels.limit(1), out, song_points=broken)
+    assert read_table(spark, out, "report").count() == 2
+    points = read_table(spark, out, "song_points").orderBy("language", "text_id").collect()
     assert [(r.language, r.text_id) for r in points] == [
         ("cs", 1), ("cs", 2), ("cs", 3), ("cs", 4), ("nl", 1),
     ]
@@ -116,16 +124,16 @@ def test_agreement_report(spark, root, tmp_path):
     out = str(tmp_path / "out")
     pairs = {"cs": ("mt_czech_AB.json", "mt_czech_CD.json")}
     jobs.evaluate_agreement(spark, root, pairs, out, {"cs": (3, 5)})
-    (row,) = spark.read.parquet(f"{out}/report").collect()
+    (row,) = read_table(spark, out, "report").collect()
     assert (row.language, row.annotator_a, row.annotator_b) == ("cs", "AB", "CD")
     assert (row.n_songs, row.n_important_songs) == (4, 3)
     assert row.kappa_hallucination == 1.0 and row.mean_accuracy_important == 1.0
     # Song 2 has one label only, so its kappa and the mean are undefined.
     assert row.mean_kappa_words is None and row.mean_defined_kappa_words == 1.0
-    text = [r.value for r in spark.read.text(f"{out}/text").collect()]
+    text = [r.value for r in read_table(spark, out, "text").collect()]
     assert text[1] == "Cohen's kappa for overallRating: 0.0000"
     assert text[3] == "Mean Cohen's kappa for word-level labels: nan"
-    songs = spark.read.parquet(f"{out}/songs")
+    songs = read_table(spark, out, "songs")
     assert sorted(r.text_id for r in songs.collect()) == [1, 2, 3, 4]
 
 
