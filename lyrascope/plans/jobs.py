@@ -127,11 +127,20 @@ def reduce_topics(
     whiten: bool = False,
 ) -> reduction.Reduction:
     """PCA reduction of a table of wide topic probabilities, with its variance report."""
-    rows = reduction.wide_to_features(corpora.read_features(spark, path))
-    normed = reduction.l1_normalise(rows).drop("features")
+    table = corpora.read_features(spark, path)
+    meta, topic_columns = reduction.split_columns(table.columns)
+    log.info("columns: %s, and %d topics", meta, len(topic_columns))
+    normed = reduction.l1_normalise(reduction.wide_to_features(table)).drop("features")
     fitted = reduction.fit_reduction(normed, variance, whiten)
-    feature_sinks.write_reduced(
-        fitted.transform(normed), fitted.n_components, f"{out}/reduced"
+    # Counted by the pass that writes the rows.
+    totals = Observation()
+    reduced = fitted.transform(normed).observe(totals, F.count("*").alias("n_rows"))
+    feature_sinks.write_reduced(reduced, fitted.n_components, f"{out}/reduced")
+    log.info(
+        "%d rows reduced from %d topics to %d components",
+        totals.get["n_rows"],
+        len(topic_columns),
+        fitted.n_components,
     )
     feature_sinks.write_variance_report(
         reduction.variance_report(spark, fitted), f"{out}/variance_report"

@@ -242,9 +242,9 @@ def corpus_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The length is taken before the join, so that no text is shuffled.
-    sizes = corpus_clean(spark, sf_dir).select("item_id", F.length("translation").alias("n_chars"))
-    return corpus.in_subset(sizes, standins.id_list(spark, sf_dir))
+    """The listed texts themselves, told by their lengths."""
+    texts = corpus.in_subset(corpus_clean(spark, sf_dir), standins.id_list(spark, sf_dir))
+    return texts.select("item_id", F.length("translation").alias("n_chars"))
 
 
 def subset_missing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_agreement_report(spark, root, tmp_path):
     assert sorted(r.text_id for r in songs.collect()) == [1, 2, 3, 4]
 
 
-def test_topics_to_reduced_features(spark, tmp_path):
+def test_topics_to_reduced_features(spark, tmp_path, caplog):
     corpus = tmp_path / "corpus"
     corpus.mkdir()
     (corpus / "a.csv").write_text(
@@ -165,7 +165,10 @@ def test_topics_to_reduced_features(spark, tmp_path):
     assert [r.topic_label for r in summary] == ["sky", "unknown", "sky", "sky"]
 
     reduced_dir = str(tmp_path / "pca")
-    fitted = jobs.reduce_topics(spark, f"{out}/probabilities", reduced_dir, 0.75)
+    with caplog.at_level("INFO"):
+        fitted = jobs.reduce_topics(spark, f"{out}/probabilities", reduced_dir, 0.75)
+    assert "columns: ['id', 'assigned_topic', 'topic_label'], and 2 topics" in caplog.text
+    assert "4 rows reduced from 2 topics to 1 components" in caplog.text
     reduced = spark.read.parquet(f"{reduced_dir}/reduced")
     assert reduced.columns == ["id", "assigned_topic", "topic_label", "pc_0"]
     assert fitted.n_components == 1
