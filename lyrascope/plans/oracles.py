@@ -530,5 +530,44 @@ select n as n_components, n as last_component, 1.0::double as cumulative,
        true as descending, true as target_passed, true as none_to_spare, true as numbered
 from total"""
 
+ORACLES["quality_report_text"] = f"""
+with r as ({ORACLES["mt_language_report"]}), u as ({ORACLES["mt_unusual_language"]}),
+lines as (
+  select '' as block, 0 as line, 'Machine Translation Evaluation Results' as text
+  union all select '', 1000000, ''
+  union all
+  select language, unnest([0, 1, 2, 3, 4, 5, 6, 7, 1000000]), unnest([
+    'Language: ' || language,
+    '  Mean overall rating: ' || coalesce(printf('%.2f', round(mean_rating, 2)), 'nan'),
+    '  Mean correctness: ' || printf('%.2f', round(mean_correctness, 2)),
+    '  Mean importance: ' || printf('%.2f', round(mean_importance, 2)),
+    '  Total words evaluated: ' || n_words,
+    '  Self-agreement of annotator: ' || coalesce(printf('%.2f', round(self_agreement, 2)), 'nan'),
+    '  Hallucinations: ' || n_hallucinations || ' out of ' || n_songs_minus_repeat || ' songs',
+    '  Unusual language distribution:', ''])
+  from r
+  union all
+  select language, seen_rank + 7, '    ' || coalesce(unusual_language, 'None') || ': ' || n_songs
+  from u
+)
+select row_number() over (order by block, line) as line, text from lines"""
+
+ORACLES["agreement_report_text"] = f"""
+with r as ({ORACLES["iaa_report"]}),
+lines as (
+  select language as block, unnest([0, 1, 2, 3, 4, 5]) as line, unnest([
+    language || ' AB CD',
+    'Cohen''s kappa for overallRating: ' || coalesce(printf('%.4f', kappa_rating), 'nan'),
+    'Cohen''s kappa for hallucination: ' || coalesce(printf('%.4f', kappa_hallucination), 'nan'),
+    'Mean Cohen''s kappa for word-level labels: '
+      || coalesce(printf('%.4f', mean_kappa_words), 'nan'),
+    'Mean accuracy for important word-level labels: '
+      || coalesce(printf('%.4f', mean_accuracy_important), 'nan'),
+    'Mean Cohen''s kappa for important word-level labels: '
+      || coalesce(printf('%.4f', mean_kappa_important), 'nan')]) as text
+  from r
+)
+select row_number() over (order by block, line) as line, text from lines"""
+
 # The model of two merged parts is that of the whole.
 ORACLES["topic_model_reload"] = ORACLES["topic_distribution"]

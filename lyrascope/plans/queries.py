@@ -21,7 +21,7 @@ from lyrascope.operators import (
 from lyrascope.operators.topic_store import TopicStore
 from lyrascope.plans import standins
 from lyrascope.session import materialise, scratch_path
-from lyrascope.sinks import features
+from lyrascope.sinks import features, reports, versions
 from lyrascope.sources import annotations, corpora
 
 
@@ -185,6 +185,31 @@ def iaa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.agreement_report(cube))
 
 
+def _numbered_lines(text: DataFrame) -> DataFrame:
+    """The lines of a report, which is one small file, with their numbers."""
+    order = Window.orderBy(F.monotonically_increasing_id())
+    return text.select(
+        F.row_number().over(order).cast("long").alias("line"), F.col("value").alias("text")
+    )
+
+
+def quality_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report as its published text has it."""
+    path = scratch_path(spark)
+    report = mt_language_report(spark, sf_dir)
+    reports.write_quality_report(report, mt_unusual_language(spark, sf_dir), path)
+    return _numbered_lines(versions.read_table(spark, path, "text"))
+
+
+def agreement_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreement report as its published text has it."""
+    path = scratch_path(spark)
+    report = materialise(iaa_report(spark, sf_dir))
+    pairs = report.select("language", F.lit("AB").alias("annotator_a"), F.lit("CD").alias("annotator_b"))
+    reports.write_agreement_report(report, _song_measures(spark, sf_dir), pairs, path)
+    return _numbered_lines(versions.read_table(spark, path, "text"))
+
+
 def song_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zip of two exports: annotator 2 rated only the songs found in ``labels``."""
     keys = standins.song_keys(spark, sf_dir)
@@ -641,6 +666,8 @@ QUERIES = {
         accuracy_important_song,
         kappa_self,
         iaa_report,
+        quality_report_text,
+        agreement_report_text,
         song_alignment,
         songs_in_common,
         word_statuses,
