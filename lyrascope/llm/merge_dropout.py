@@ -7,12 +7,14 @@ all decode to the text itself.  Every occurrence of a segment gets one of VARIAN
 a hash of the document and the segment's place in it.
 
 The agenda is worked off for many distinct segments at once: each round takes the best
-candidate of every segment.  Characters without a piece, and the sign that stands for a space,
+candidate of every segment.  A long segment has an agenda of its own, a heap over a linked list
+of its symbols.  Characters without a piece, and the sign that stands for a space,
 are spelt in byte pieces.
 """
 
+import heapq
 import zlib
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -31,10 +33,31 @@ DROPOUT = 0.1
 SEED = 1
 VARIANTS = 16
 
+# Segments of more symbols have a heap of their own.
+LONG = 64
+
 # Rank of a pair that is not merged.
 NEVER = np.int32(2**31 - 1)
 
 
+def draw(own: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for the merge into a piece at a place of a keyed segment."""
+    at = own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    drawn = mix(at ^ piece.astype(np.uint64) << np.uint64(40))
+    return (drawn >> np.uint64(11)) * 2.0**-53
+
+
+def draw_one(own: int, place: int, piece: int) -> float:
+    """``draw`` of single integers."""
+    x = (own + place * 0x9E3779B97F4A7C15 & MASK) ^ (piece << 40 & MASK)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return ((x ^ x >> 31) >> 11) * 2.0**-53
+
+
+MASK = (1 << 64) - 1
+
+
 class Vocabulary:
     """Piece ids, bytes and pair merges of a sentencepiece BPE vocabulary."""
 
@@ -138,6 +161,14 @@ class Vocabulary:
         width = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
+            if w > LONG:
+                for row in rows.tolist():
+                    own_symbols = first[offsets[codes[row]] : offsets[codes[row] + 1]]
+                    left = self._merge_long(own_symbols, own[row], dropout)
+                    lengths[row] = len(left)
+                    made_rows.append(np.array([row]))
+                    made_values.append(left)
+                continue
             for part in np.array_split(rows, max(1, len(rows) * int(w) // 2_000_000)):
                 left = self._merge(offsets, first, codes[part], own[part], int(w), dropout)
                 n = (left >= 0).sum(1)
@@ -170,10 +201,7 @@ class Vocabulary:
             """Pieces and ranks of the pairs at row r and columns c, c + 1."""
             a, b = symbol[r, c], symbol[r, c + 1]
             found = self.find(a, b)
-            place = start[r, c].astype(np.uint64)
-            pieces = found.astype(np.uint64) << np.uint64(40)
-            drawn = mix(own[r] + place * np.uint64(0x9E3779B97F4A7C15) ^ pieces)
-            share = (drawn >> np.uint64(11)) * 2.0**-53
+            share = draw(own[r], start[r, c], found)
             fine = (found >= 0) & (share >= dropout)
             into[r, c] = found
             rank[r, c] = np.where(fine, self.order[found], NEVER)
@@ -202,6 +230,48 @@ class Vocabulary:
             candidates(alive[has_before], best[has_before] - 1)
         return symbol
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """The piece that two symbols merge into, by both numbers in one."""
+        used = self.pair >= 0
+        return dict(zip(self.keys[used].tolist(), self.merged[self.pair[used]].tolist(), strict=True))
+
+    def _merge_long(self, first: np.ndarray, own: np.uint64, dropout: float) -> np.ndarray:
+        """Symbols left of one segment, by a heap of candidates over a linked list of symbols."""
+        n = len(first)
+        merges, order, symbol = self.merges, self.order, first.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        found = self.find(first[:-1], first[1:])
+        places = np.arange(n - 1)
+        fine = (found >= 0) & (draw(np.full(n - 1, own), places, found) >= dropout)
+        agenda = [
+            (rank, i, i + 1, piece)
+            for rank, i, piece in zip(
+                order[found[fine]].tolist(), places[fine].tolist(), found[fine].tolist(), strict=True
+            )
+        ]
+        heapq.heapify(agenda)
+
+        def offer(i: int) -> None:
+            j = after[i]
+            piece = merges.get(symbol[i] << 32 | symbol[j])
+            if piece is not None and draw_one(int(own), i, piece) >= dropout:
+                heapq.heappush(agenda, (int(order[piece]), i, j, piece))
+
+        while agenda:
+            _, i, j, piece = heapq.heappop(agenda)
+            # Void once one of its symbols has been merged with another.
+            if symbol[i] < 0 or after[i] != j or merges.get(symbol[i] << 32 | symbol[j]) != piece:
+                continue
+            symbol[i], symbol[j] = piece, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return np.array([s for s in symbol if s >= 0], np.int64)
+
     def ids(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, those without a piece in bytes; and the number of ids of each."""
         lengths = np.ones(len(symbols), np.int64)

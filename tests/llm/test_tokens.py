@@ -1,5 +1,6 @@
 """Token counts, bit packing and merge-dropout against the libraries themselves."""
 
+import time
 import zlib
 
 import numpy as np
@@ -90,3 +91,56 @@ def test_segmentations_vary_by_document_and_come_back_for_their_seed():
     other, _ = merge_dropout.encode_texts(texts, keys, seed=2, dropout=0.3)
     assert one.tolist() == again.tolist() != other.tolist()
     assert one[: counts[0]].tolist() != one[counts[0] :].tolist()
+
+
+def skipped_merges(symbols, own, dropout, vocabulary):
+    """One merge after the other: the best-ranked pair left, the first of equal ones."""
+    parts = [(i, s) for i, s in enumerate(symbols)]
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            (place, a), (_, b) = parts[k], parts[k + 1]
+            piece = vocabulary.merges.get(a << 32 | b)
+            if piece is None or merge_dropout.draw_one(own, place, piece) < dropout:
+                continue
+            rank = (int(vocabulary.order[piece]), place)
+            if best is None or rank < best[0]:
+                best = rank, k, piece
+        if best is None:
+            return [s for _, s in parts]
+        _, k, piece = best
+        parts[k : k + 2] = [(parts[k][0], piece)]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_skipped_merges_equal_a_plain_loop(monkeypatch, dropout):
+    own = merge_dropout.vocabulary(merge_dropout.MODEL)
+    texts = [" internationalization", " é日本 x", " " + "ab" * 40, " " + "thethe" * 25, " a", "q" * 90]
+    distinct = pa.array([t.encode() for t in texts], pa.large_binary())
+    codes = np.repeat(np.arange(len(texts)), 3)
+    variants = np.tile(np.arange(3), len(texts))
+    made = {}
+    for long in (0, 64, 1 << 20):
+        monkeypatch.setattr(merge_dropout, "LONG", long)
+        lengths, values = own.segment(distinct, codes, variants, 5, dropout)
+        made[long] = lengths.tolist(), values.tolist()
+    assert made[0] == made[64] == made[1 << 20]
+    offsets, first = own.symbols(distinct)
+    names = [zlib.crc32(t.encode()) for t in texts]
+    expected = []
+    for code, variant in zip(codes.tolist(), variants.tolist()):
+        key = np.array([names[code] << 20 ^ 5 << 8 ^ variant], np.uint64)
+        drawn = int(merge_dropout.mix(key)[0])
+        symbols = first[offsets[code] : offsets[code + 1]].tolist()
+        expected += skipped_merges(symbols, drawn, dropout, own)
+    assert made[64][1] == expected
+
+
+def test_a_long_unspaced_text_is_encoded_in_time():
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("etaoinshr"), 200_000))
+    start = time.perf_counter()
+    ids, counts = merge_dropout.encode_texts(pa.array([text]), np.array([1]))
+    assert time.perf_counter() - start < 30
+    data, _ = merge_dropout.vocabulary(merge_dropout.MODEL).decode(ids, counts)
+    assert data.tobytes().decode() == text
