@@ -29,6 +29,8 @@ CYCLE = 256
 # Sources a table may have; more are an error, as a cycle needs a slot for each.
 MAX_SOURCES = 1024
 
+NEW = ["block", "slot", "released", "due", "place"]
+
 # Schedule rows (under 100 bytes) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -101,10 +103,16 @@ def mix(
     order, ``released <= slot < due``, ``place`` the row's place in its block.  NULL is a
     source of its own; rows with equal doc_ids and sources are told apart by nothing and come
     one after the other; an empty table gives no rows.  Columns of the input that have one of
-    the new names are replaced.
+    the new names are replaced; ``in_mixed_order`` keeps them.
     """
-    new = ["block", "slot", "released", "due", "place"]
-    docs = docs.drop(*new)
+    mixed = _mixed(docs, shares, block_rows)
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in NEW]
+    return mixed.select(*kept, *NEW)
+
+
+def _mixed(docs: DataFrame, shares: Mapping | None, block_rows: int) -> DataFrame:
+    """The input's rows as one column ``_row``, so that no name of theirs matters, and NEW."""
+    docs = docs.select(F.struct("*").alias("_row"), "source", "doc_id")
     sizes = docs.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1)
     rows = {r["source"]: r["n"] for r in sizes.collect()}
     if len(rows) > MAX_SOURCES:
@@ -172,15 +180,19 @@ def mix(
             "released": start + F.col("_release"),
             "due": start + F.col("_deadline"),
         }
-    ).select(*docs.columns, *new)
+    ).select("_row", *NEW)
 
 
-def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
-    """The rows of documents in the mixed order: partition by partition, and within each."""
-    mixed = mix(docs, **how)
-    columns = [c for c in docs.columns if c in mixed.columns]
+def in_mixed_order(
+    docs: DataFrame, shares: Mapping | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The rows of documents in the mixed order: partition by partition, and within each.
+
+    All columns of the input stay as they are, whatever their names.
+    """
     return (
-        mixed.repartitionByRange("slot", "place")
+        _mixed(docs, shares, block_rows)
+        .repartitionByRange("slot", "place")
         .sortWithinPartitions("slot", "place")
-        .select(*columns)
+        .select("_row.*")
     )
