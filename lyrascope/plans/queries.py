@@ -205,7 +205,8 @@ def agreement_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The agreement report as its published text has it."""
     path = scratch_path(spark)
     report = materialise(iaa_report(spark, sf_dir))
-    pairs = report.select("language", F.lit("AB").alias("annotator_a"), F.lit("CD").alias("annotator_b"))
+    names = [F.lit("AB").alias("annotator_a"), F.lit("CD").alias("annotator_b")]
+    pairs = report.select("language", *names)
     reports.write_agreement_report(report, _song_measures(spark, sf_dir), pairs, path)
     return _numbered_lines(versions.read_table(spark, path, "text"))
 

@@ -248,11 +248,13 @@ def write_exports(spark: SparkSession, sf_dir: str, path: str) -> None:
         "words",
     )
     comma = F.when(F.col("position") > 1, ",\n").otherwise("\n")
-    lines = listed.select("language", "position", F.concat(comma, F.to_json(record)).alias("value"))
+    value = F.concat(comma, F.to_json(record)).alias("value")
+    lines = listed.select("language", "position", value)
     languages = listed.select("language").distinct()
     opening = F.concat(F.lit('{"language": "'), "language", F.lit('",\n "evaluations": ['))
-    head = languages.select("language", F.lit(0).cast("long").alias("position"), opening.alias("value"))
-    tail = languages.select("language", F.lit(1 << 62).alias("position"), F.lit("\n]}").alias("value"))
+    first, last = F.lit(0).cast("long").alias("position"), F.lit(1 << 62).alias("position")
+    head = languages.select("language", first, opening.alias("value"))
+    tail = languages.select("language", last, F.lit("\n]}").alias("value"))
     (
         head.unionByName(lines)
         .unionByName(tail)
@@ -271,5 +273,6 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
     )
     turned = F.col("lang").isin("de", "fr")
     kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    for rows in (docs.filter(~turned), docs.filter(turned).select("lang", "translation", "item_id")):
+    other = docs.filter(turned).select("lang", "translation", "item_id")
+    for rows in (docs.filter(~turned), other):
         rows.write.mode("append").options(header=True, escape='"', **kept).csv(path)

@@ -1,6 +1,11 @@
 """Session helpers: building, lineage cuts and guarded broadcasts."""
 
+import io
+import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +75,27 @@ def materialise(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only for a table whose counted rows stay under the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+@cache
+def _packed() -> str:
+    """The package as a zip file on the driver."""
+    package = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    path.write_bytes(held.getvalue())
+    return str(path)
+
+
+@cache
+def _ship(application: str, context) -> None:
+    context.addPyFile(_packed())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    _ship(context.applicationId, context)
