@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lyrascope.llm import i_match, odd_sketch, pfair_mixing
 from tests.llm.data import LOWER, WORD, by_id, documents, frame
@@ -225,3 +226,47 @@ def test_mixing_keeps_columns_and_empty_tables(spark):
     assert pfair_mixing.in_mixed_order(docs).columns == docs.columns
     assert pfair_mixing.in_mixed_order(docs).count() == len(documents())
     assert pfair_mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    names = ["slot", "block", "place", "released", "due", "_hash", "_cycle", "_number", "_row", "_b0"]
+    docs = frame(spark)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.col("doc_id") * 10 + i)
+    ordered = pfair_mixing.in_mixed_order(docs)
+    assert ordered.columns == docs.columns
+    rows = sorted(map(repr, ordered.collect()))
+    assert rows == sorted(map(repr, docs.collect()))
+    mixed = pfair_mixing.mix(docs)
+    assert set(mixed.columns) == set(docs.columns)
+    plain = {(r["doc_id"], r["slot"], r["place"]) for r in pfair_mixing.mix(frame(spark)).collect()}
+    got = mixed.collect()
+    assert {(r["doc_id"], r["slot"], r["place"]) for r in got} == plain
+    assert all(r["_hash"] == r["doc_id"] * 10 + 5 for r in got if r["doc_id"] is not None)
+
+
+@pytest.mark.parametrize("part_edges", [1 << 20, 20])
+def test_components_of_paths_stars_and_random_edges(spark, monkeypatch, part_edges):
+    monkeypatch.setattr(odd_sketch, "PART_EDGES", part_edges)
+    rng = random.Random(4)
+    cases = [
+        [(i, i + 1) for i in range(120)],
+        [(0, i) for i in range(1, 90)] + [(500 + i, 500) for i in range(1, 40)],
+        [(rng.randrange(300), rng.randrange(300)) for _ in range(180)],
+        [],
+    ]
+    for edges in cases:
+        parent = {}
+
+        def top(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for x, y in edges:
+            p, q = top(x), top(y)
+            parent[max(p, q)] = min(p, q)
+        rng.shuffle(edges)
+        table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        got = {r.rep: r.component for r in odd_sketch.components(table).collect()}
+        assert got == {x: top(x) for x in parent if top(x) != x}
