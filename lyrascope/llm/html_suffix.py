@@ -6,31 +6,46 @@ article, only the blocks inside count.
 
 The pages of a host are put one after the other as a stream of words, and a suffix array is
 sorted by prefix doubling to a depth of RUN words: positions of equal rank begin the same run of
-RUN words, so runs that two different pages share are found whatever their length.  On pages
-that mark no article, words covered by such runs are boilerplate and go, and the unique runs
-between them stay.  A page of which most words are covered is a copy of another page, not
-boilerplate, and stays whole.
-
-Pages are sorted by host and taken in shards of at most SHARD_BYTES, so that a host with very
-many pages is cut; a run is boilerplate if two pages of one shard share it.
+RUN words, so its distinct pages are counted.  A run on more than half of a host's pages, and on
+LEAST_PAGES at least, is boilerplate wherever it stands, also inside a marked article: its words
+go, and the unique runs between them stay.  Runs on fewer pages are quotations, passages and
+mirrors, which are text.  A page whose text is boilerplate to COPY_PERCENT or more is a copy of
+the host's other pages and stays whole.
+
+Pages are sorted by host and taken in shards of at most SHARD_BYTES.  A run on more than half of
+all pages of a host is on more than half of them in one of its shards, so the shards propose
+all such runs, and only what is proposed for a host of several shards is counted on its pages
+again.  The result does not depend on how pages are dealt.
 """
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyrascope.llm.shared import map_arrow
+from lyrascope.llm.shared import map_arrow, written
 from lyrascope.llm.text import chunks
+from lyrascope.operators.skew import salted_join
 
 RUN = 8
 SHARD_BYTES = 4 << 20
 
+# Pages of a host that share a run of boilerplate, at least.
+LEAST_PAGES = 3
+
+# A page with so much boilerplate is a copy.
+COPY_PERCENT = 90
+
+# Runs (a host and 8 bytes) that may be broadcast.
+BROADCAST_RUNS = 500_000
+
 # Elements whose content is no text at all.
 RAW = frozenset(
     "script style template noscript iframe object svg math textarea title canvas".split()
@@ -63,9 +78,8 @@ OUTSIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S
-)
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(
     r"""(?<![^\s"'])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I
 )
@@ -98,11 +112,59 @@ def _outside(name: str, attributes: str) -> bool:
     return False
 
 
+@dataclass
+class Source:
+    """The markup of a page, read once from its start to its end."""
+
+    text: str
+    place: int = 0
+    quoted: bool = True  # False from a quotation on that hides all further ends of tags
+
+    def tag_end(self, start: int) -> int:
+        """Place of the > that ends a tag, which may stand in quotation marks before; or -1."""
+        if self.quoted:
+            at = start
+            while (stop := STOP.search(self.text, at)) is not None:
+                if stop[0] == ">":
+                    return stop.start()
+                close = self.text.find(stop[0], stop.end())
+                if close < 0:
+                    break
+                at = close + 1
+            self.quoted = False
+        return self.text.find(">", start)
+
+    def after(self, mark: str, start: int) -> int:
+        """Place behind the next ``mark``, or the end."""
+        found = self.text.find(mark, start)
+        return len(self.text) if found < 0 else found + len(mark)
+
+    def skip(self, name: str) -> None:
+        """Go behind the end of an element that holds no markup."""
+        end = re.compile(rf"</{name}\b", re.I).search(self.text, self.place)
+        self.place = self.after(">", end.end()) if end else len(self.text)
+
+    def tags(self) -> Iterator[tuple[str, str, bool, str]]:
+        """Text before a tag, the tag's name (empty for none), whether it closes, attributes."""
+        while (tag := START.search(self.text, self.place)) is not None:
+            before = self.text[self.place : tag.start()]
+            if tag[1]:
+                self.place = self.after("-->", tag.end())
+                yield before, "", False, ""
+                continue
+            end = self.text.find(">", tag.end()) if tag[2] else self.tag_end(tag.end())
+            if end < 0:
+                break
+            self.place = end + 1
+            yield before, (tag[4] or "").lower(), bool(tag[3]), self.text[tag.end() : end]
+        yield self.text[self.place :], "", False, ""
+
+
 def blocks_of(source: str) -> Page:
     """Parse one page; unclosed elements end with those around them."""
     page, stack, parts = Page(), [], []
+    opened: Counter[str] = Counter()
     outside = marked = 0  # open elements of either kind
-    place, n = 0, len(source)
 
     def flush() -> None:
         text = BLANKS.sub(" ", html.unescape("".join(parts))).strip("\x20\x09\x0a\x0b\x0c\x0d")
@@ -111,137 +173,267 @@ def blocks_of(source: str) -> Page:
             page.blocks.append(text)
             page.marked.append(marked > 0)
 
-    while place < n:
-        tag = TAG.search(source, place)
-        if tag is None:
-            break
-        if not outside and tag.start() > place:
-            parts.append(source[place : tag.start()])
-        place = tag.end()
-        name = (tag[2] or "").lower()
+    reader = Source(source)
+    for before, name, closes, attributes in reader.tags():
+        if not outside:
+            parts.append(before)
         if not name:
             continue
         if name == "br" and not outside:
             parts.append(" ")
         if name not in INLINE and not outside:
             flush()
-        if not tag[1]:
+        if not closes:
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, place)
-                place = end.end() if end else n
-            elif name not in VOID and not tag[3].endswith("/"):
-                away = _outside(name, tag[3])
-                body = name in ("article", "main") or MAIN_ROLE.search(tag[3]) is not None
+                reader.skip(name)
+            elif name not in VOID and not attributes.endswith("/"):
+                away = _outside(name, attributes)
+                body = name in ("article", "main") or MAIN_ROLE.search(attributes) is not None
                 if away and not outside:
                     flush()
                 stack.append((name, away, body))
+                opened[name] += 1
                 outside += away
                 marked += body
-        elif any(open_name == name for open_name, _, _ in stack):
+        elif opened[name]:
             while True:
                 open_name, away, body = stack.pop()
+                opened[open_name] -= 1
                 outside -= away
                 marked -= body
                 if open_name == name:
                     break
     if not outside:
-        parts.append(source[place:])
         flush()
     return page
 
 
-def covered(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarray]]:
-    """By page and block, the words in runs of ``run`` words or more that two pages share."""
+@dataclass
+class Stream:
+    """Words of the blocks of some pages, one after the other."""
+
+    words: list[str]
+    page: np.ndarray  # by word
+
+    @classmethod
+    def of(cls, pages: list[Page]) -> "Stream":
+        own = [[w for block in page.blocks for w in block.split(" ")] for page in pages]
+        sizes = np.array([len(words) for words in own], np.int64)
+        return cls([w for words in own for w in words], np.repeat(np.arange(len(own)), sizes))
+
+    def codes(self) -> np.ndarray:
+        """64 bits of hash of each word."""
+        of = {w: xxhash.xxh3_64_intdigest(w) for w in set(self.words)}
+        return np.array([of[w] for w in self.words], np.uint64)
+
+    def runs(self, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a run of words inside one page starts, and the runs' hashes."""
+        starts = np.arange(max(len(self.words) - run + 1, 0))
+        starts = starts[self.page[starts] == self.page[starts + run - 1]] if len(starts) else starts
+        codes, made = self.codes(), np.zeros(len(starts), np.uint64)
+        for k in range(run):
+            made = (made ^ codes[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
+            made ^= made >> np.uint64(29)
+        return starts, made.view(np.int64)
+
+
+def distinct_pages(words: list[str], page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """By word, the number of pages that hold the run that starts there; 0 where none starts.
+
+    ``page`` has the page of each word, in ascending order.
+    """
+    n = len(words)
+    found = np.zeros(n, np.int64)
+    if n < run:
+        return found
+    # Sort suffixes by their first 1, 2, 4 ... words; runs end with their page.
     numbers: dict[str, int] = {}
-    codes, owner, sizes = [], [], []
-    for number, blocks in enumerate(pages):
-        for words in blocks:
-            codes += [numbers.setdefault(w, len(numbers)) for w in words]
-            owner += [number] * len(words)
-            sizes.append(len(words))
-    stream, owner = np.array(codes, np.int64), np.array(owner, np.int64)
-    n = len(stream)
-    flags = np.zeros(n, bool)
-    if n >= run:
-        # Sort suffixes by their first 1, 2, 4 ... words; runs end with their page.
-        rank, depth = stream, 1
-        while depth < run:
-            step = min(depth, run - depth)
-            at = np.arange(n)
-            after = np.minimum(at + step, n - 1)
-            last = np.minimum(at + step + depth - 1, n - 1)
-            # A suffix that is too short for its page is like no other.
-            inside = (at + step + depth <= n) & (owner[last] == owner)
-            key = np.where(inside, rank * (int(rank.max()) + 2) + rank[after] + 1, -1 - at)
-            rank = np.unique(key, return_inverse=True)[1]
-            depth += step
-        order = np.argsort(rank, kind="stable")
-        first = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-        low = np.minimum.reduceat(owner[order], first)
-        high = np.maximum.reduceat(owner[order], first)
-        shared = np.repeat(low < high, np.diff(np.r_[first, n]))
-        starts = np.zeros(n + 1, np.int64)
-        begin = order[shared]
-        np.add.at(starts, begin, 1)
-        np.add.at(starts, begin + run, -1)
-        flags = np.cumsum(starts[:n]) > 0
-    parts = iter(np.split(flags, np.cumsum(sizes)[:-1])) if sizes else iter(())
-    return [[next(parts) for _ in blocks] for blocks in pages]
-
-
-def main_text(page: Page, words: list[list[str]], flags: list[np.ndarray]) -> str:
-    """Text of the article: the marked blocks, or what is no boilerplate."""
-    if any(page.marked):
-        return "\n\n".join(b for b, kept in zip(page.blocks, page.marked, strict=True) if kept)
-    total = sum(len(w) for w in words)
-    if 2 * sum(int(f.sum()) for f in flags) > total:
-        return "\n\n".join(page.blocks)
+    rank = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    depth = 1
+    while depth < run:
+        step = min(depth, run - depth)
+        at = np.arange(n)
+        after = np.minimum(at + step, n - 1)
+        last = np.minimum(at + step + depth - 1, n - 1)
+        # A suffix that is too short for its page is like no other.
+        inside = (at + step + depth <= n) & (page[last] == page)
+        key = np.where(inside, rank * (int(rank.max()) + 2) + rank[after] + 1, -1 - at)
+        rank = np.unique(key, return_inverse=True)[1]
+        depth += step
+    order = np.argsort(rank, kind="stable")
+    sorted_rank, sorted_page = rank[order], page[order]
+    new_run = np.r_[True, sorted_rank[1:] != sorted_rank[:-1]]
+    first = np.flatnonzero(new_run)
+    new_page = new_run | np.r_[True, sorted_page[1:] != sorted_page[:-1]]
+    pages = np.add.reduceat(new_page.astype(np.int64), first)
+    found[order] = np.repeat(pages, np.diff(np.r_[first, n]))
+    at = np.arange(n)
+    found[(at + run > n) | (page[np.minimum(at + run - 1, n - 1)] != page)] = 0
+    return found
+
+
+def covered(n: int, starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which of n words are in a run that starts at one of the places."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + run, -1)
+    return np.cumsum(change[:n]) > 0
+
+
+def main_text(page: Page, flags: np.ndarray) -> tuple[str, int]:
+    """Text of the article, and its words that are boilerplate by ``flags`` of all words."""
+    cuts = np.cumsum([b.count(" ") + 1 for b in page.blocks])
+    parts = np.split(flags, cuts[:-1]) if page.blocks else []
+    own = [
+        (block, flag)
+        for block, flag, marked in zip(page.blocks, parts, page.marked, strict=True)
+        if marked or not any(page.marked)
+    ]
+    repeated = sum(int(flag.sum()) for _, flag in own)
+    if 100 * repeated >= COPY_PERCENT * sum(len(flag) for _, flag in own):
+        return "\n\n".join(block for block, _ in own), repeated
     kept = []
-    for block, own, flag in zip(page.blocks, words, flags, strict=True):
-        unique = (w for w, f in zip(own, flag, strict=True) if not f)
-        text = " ".join(unique) if flag.any() else block
+    for block, flag in own:
+        text = block
+        if flag.any():
+            text = " ".join(w for w, f in zip(block.split(" "), flag, strict=True) if not f)
         if text:
             kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(kept), repeated
 
 
 def host() -> Column:
     return F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long, n_repeated_words long"
+PROPOSED = "host string, run long, n long, pages long"
 
 
-def _shard(rows: list[tuple]) -> pa.RecordBatch:
-    parsed = [blocks_of(source or "") for _, _, source in rows]
-    words = [[b.split(" ") for b in page.blocks] for page in parsed]
-    flags = covered(words)
-    texts = [main_text(p, w, f) for p, w, f in zip(parsed, words, flags, strict=True)]
+def _proposed(host: str, sources: list[str]) -> pa.RecordBatch:
+    """Runs on more than half of a shard's pages, with their pages and those of the shard."""
+    stream = Stream.of([blocks_of(source) for source in sources])
+    pages = distinct_pages(stream.words, stream.page)
+    starts, hashes = stream.runs()
+    n = pages[starts]
+    often = 2 * n > len(sources)
+    runs, at = np.unique(hashes[often], return_index=True)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([r[1] for r in rows], pa.string()),
-            pa.array(texts, pa.string()),
-            pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([sum(int(f.sum()) for f in own) for own in flags], pa.int64()),
+            pa.array([host] * len(runs), pa.string()),
+            pa.array(runs, pa.int64()),
+            pa.array(n[often][at], pa.int64()),
+            pa.array(np.full(len(runs), len(sources)), pa.int64()),
         ],
-        ["page_id", "url", "text", "n_chars", "n_repeated_words"],
+        ["host", "run", "n", "pages"],
     )
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size, of = [], 0, None
     for chunk in chunks(batches, "html"):
-        columns = (chunk.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))
-        for name, *row in zip(*columns, strict=True):
+        columns = (chunk.column(c).to_pylist() for c in ("host", "html"))
+        for name, source in zip(*columns, strict=True):
             if held and (name != of or size > SHARD_BYTES):
-                yield _shard(held)
+                yield _proposed(of, held)
                 held, size = [], 0
-            held.append(tuple(row))
+            held.append(source or "")
             of = name
-            size += len(row[2] or "")
+            size += len(source or "")
     if held:
-        yield _shard(held)
+        yield _proposed(of, held)
+
+
+def _known(chunk: pa.RecordBatch) -> tuple[list[Page], Stream, np.ndarray, np.ndarray]:
+    """Pages of a chunk, their words, and the starts and hashes of runs in the page's ``runs``."""
+    pages = [blocks_of(source or "") for source in chunk.column("html").to_pylist()]
+    known = [np.array(r or [], np.int64) for r in chunk.column("runs").to_pylist()]
+    stream = Stream.of(pages)
+    if not any(map(len, known)):
+        return pages, stream, np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, hashes = stream.runs()
+    bounds = np.searchsorted(stream.page[starts], np.arange(len(pages) + 1))
+    found = [
+        np.isin(hashes[a:b], own) if len(own) else np.zeros(b - a, bool)
+        for own, a, b in zip(known, bounds[:-1], bounds[1:], strict=True)
+    ]
+    hit = np.concatenate(found)
+    return pages, stream, starts[hit], hashes[hit]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by host and known run."""
+    for chunk in chunks(batches, "html"):
+        _, stream, starts, hashes = _known(chunk)
+        hosts = chunk.column("host").to_pylist()
+        seen = set(zip(stream.page[starts].tolist(), hashes.tolist(), strict=True))
+        counts = Counter((hosts[page], run) for page, run in seen)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([host for host, _ in counts], pa.string()),
+                pa.array([run for _, run in counts], pa.int64()),
+                pa.array(list(counts.values()), pa.int64()),
+            ],
+            ["host", "run", "n"],
+        )
+
+
+SCHEMA = "page_id long, url string, text string, n_chars long, n_repeated_words long"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batches, "html"):
+        pages, stream, starts, _ = _known(chunk)
+        flags = covered(len(stream.words), starts)
+        bounds = np.searchsorted(stream.page, np.arange(1, len(pages)))
+        made = [main_text(*own) for own in zip(pages, np.split(flags, bounds), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                chunk.column("page_id"),
+                chunk.column("url"),
+                pa.array([text for text, _ in made], pa.string()),
+                pa.array([len(text) for text, _ in made], pa.int64()),
+                pa.array([n for _, n in made], pa.int64()),
+            ],
+            ["page_id", "url", "text", "n_chars", "n_repeated_words"],
+        )
+
+
+def _with_runs(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Rows with the array of their host's runs (host, run); broadcast if there are few."""
+    by_host = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    if runs.count() <= BROADCAST_RUNS:
+        return rows.join(F.broadcast(by_host), "host", how)
+    return salted_join(rows, by_host, ["host"], "page_id", how)
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """host and run (a hash of RUN words) on more than half of a host's pages.
+
+    Rows are (host, page_id, html).
+    """
+    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
+    keys = ["host", F.xxhash64("page_id")]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions("host")
+    found = map_arrow(dealt, _propose, PROPOSED).groupBy("host", "run")
+    proposed = written(
+        found.agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+        .join(totals, "host")
+        .filter(F.col("total") >= LEAST_PAGES),
+        "proposed",
+    )
+    often = (2 * F.col("n") > F.col("total")) & (F.col("n") >= LEAST_PAGES)
+    # What all shards of a host have proposed is counted already.
+    whole = F.col("pages") == F.col("total")
+    counted = proposed.filter(whole & often).select("host", "run")
+    left = proposed.filter(~whole)
+    again = map_arrow(
+        _with_runs(rows, left.select("host", "run"), "inner"),
+        _count,
+        "host string, run long, n long",
+    )
+    summed = again.groupBy("host", "run").agg(F.sum("n").alias("n"))
+    more = summed.join(left.select("host", "run", "total"), ["host", "run"]).filter(often)
+    return counted.unionByName(more.select("host", "run"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -249,11 +441,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     NULL and empty pages have an empty text; pages with a NULL or odd url share one host;
     repeated rows are pages of their own; further columns are left out.  Pages are shuffled
-    once, by ranges of host and a hash of page_id, so that large hosts are split.
+    once, by ranges of host and a hash of the page, so that large hosts are split; they are
+    parsed again for the result, as the runs of boilerplate are few.
     """
     rows = pages.select(
-        host().alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html"
-    ).withColumn("host", F.coalesce("host", F.lit("")))
-    keys = ["host", F.xxhash64("page_id", "url")]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "page_id", "html")
-    return map_arrow(dealt, _shards, SCHEMA)
+        F.coalesce(host(), F.lit("")).alias("host"),
+        F.col("page_id").cast("long").alias("page_id"),
+        "url",
+        "html",
+    )
+    runs = written(boilerplate(rows.drop("url")), "boilerplate")
+    return map_arrow(_with_runs(rows, runs, "left"), _texts, SCHEMA)
