@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 
 import pytest
@@ -245,6 +246,51 @@ def test_mixing_leaves_columns_of_any_name_alone(spark):
     assert all(r["_hash"] == r["doc_id"] * 10 + 5 for r in got if r["doc_id"] is not None)
 
 
+@pytest.mark.parametrize("shares", [None, {"s0": 9, "s1": 5, "s40": 3, "s41": 2}])
+def test_more_sources_than_own_shares(spark, monkeypatch, shares):
+    monkeypatch.setattr(pfair_mixing, "OWN_SHARES", 6)
+    sizes = {f"s{i}": 70 - i // 2 for i in range(80)} | {None: 90}
+    ids = iter(range(10**6))
+    docs = spark.createDataFrame(
+        [(next(ids), s) for s, n in sizes.items() for _ in range(n)], "doc_id long, source string"
+    )
+    rows = pfair_mixing.mix(docs, shares, block_rows=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(sum(sizes.values())))
+    source_of, places = {}, collections.Counter()
+    for r in rows:
+        assert r["released"] <= r["slot"] < r["due"]
+        assert source_of.setdefault(r["slot"], r["source"]) == r["source"]
+        places[r["slot"], r["place"]] += 1
+    assert sorted(source_of) == list(range(sum(-(-n // 4) for n in sizes.values())))
+    assert set(places.values()) == {1}
+    # Inside a server sources of equal weight take turns while they last.
+    named = shares or {}
+    own = sorted(
+        sizes, key=lambda s: (s not in named, -(-(-sizes[s] // 4)), s is not None, s or "")
+    )[:6]
+    servers = collections.defaultdict(list)
+    for s, n in sizes.items():
+        if s not in own:
+            servers[int(math.log2(n**0.5 if shares is None else named.get(s, 1)))].append(s)
+    assert len(servers) == (2 if shares is None else 1)
+    for served in servers.values():
+        order = [source_of[k] for k in sorted(source_of) if source_of[k] in served]
+        for turn in range(min(-(-sizes[s] // 4) for s in served)):
+            part = order[turn * len(served) : (turn + 1) * len(served)]
+            assert sorted(part) == sorted(served)
+
+
+def test_thousands_of_sources(spark):
+    docs = spark.range(20_000).selectExpr(
+        "id as doc_id", "case when id % 3 = 0 then 'hot' else concat('s', id % 5000) end as source"
+    )
+    rows = pfair_mixing.mix(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(20_000))
+    blocks = {(r["source"], r["block"], r["slot"]) for r in rows}
+    assert sorted(slot for *_, slot in blocks) == list(range(len(blocks)))
+    assert all(r["released"] <= r["slot"] < r["due"] for r in rows)
+
+
 @pytest.mark.parametrize("part_edges", [1 << 20, 20])
 def test_components_of_paths_stars_and_random_edges(spark, monkeypatch, part_edges):
     monkeypatch.setattr(odd_sketch, "PART_EDGES", part_edges)
