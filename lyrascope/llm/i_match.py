@@ -19,8 +19,10 @@ LEAST, MOST = 1 / 2048, 1 / 8
 # Wide subsets, by their number the part of the lexicon that is left out.
 WIDE = 4
 
-# A narrow subset takes one of so many terms, by subset.
-RATES = [32] * 8 + [128] * 8 + [512] * 8
+# A narrow subset takes one of so many terms, by subset.  Two texts with d different band terms
+# share most hashes at a rate of about d, so the rates go up in steps of two.
+PER_RATE = 6
+RATES = [1 << k for k in range(4, 12) for _ in range(PER_RATE)]
 
 SUBSETS = WIDE + len(RATES)
 
@@ -59,8 +61,10 @@ def lexicon(texts: DataFrame, least: float = LEAST, most: float = MOST) -> DataF
 
 def _hashes(kept: Column) -> Column:
     """One hash per subset of sorted (term, subsets), NULL for a subset without a term."""
-    # Few terms are in a narrow subset.
-    narrow = F.filter(kept, lambda term: term["subsets"] >= 1 << WIDE)
+
+    def within(own: Column, numbers: range) -> Column:
+        bits = sum(1 << j for j in numbers)
+        return F.filter(own, lambda term: term["subsets"].bitwiseAND(F.lit(bits)) != 0)
 
     def hashed(own: Column, numbers: range) -> Column:
         return F.transform(
@@ -70,9 +74,19 @@ def _hashes(kept: Column) -> Column:
             ),
         )
 
-    # As a lambda's variable the narrow part is filtered once, not for every subset.
-    fine = F.transform(F.array(narrow), lambda own: hashed(own, range(WIDE, SUBSETS)))
-    made = F.concat(hashed(kept, range(WIDE)), F.flatten(fine))
+    def once(own: Column, numbers: range, function) -> Column:
+        # As a lambda's variable the terms are filtered once, not for every subset.
+        return F.flatten(F.transform(F.array(within(own, numbers)), function))
+
+    def by_rate(own: Column) -> Column:
+        levels = [range(j, j + PER_RATE) for j in range(WIDE, SUBSETS, PER_RATE)]
+        return F.flatten(F.array(*[one_rate(own, numbers) for numbers in levels]))
+
+    def one_rate(own: Column, numbers: range) -> Column:
+        return once(own, numbers, lambda few: hashed(few, numbers))
+
+    fine = once(kept, range(WIDE, SUBSETS), by_rate)
+    made = F.concat(hashed(kept, range(WIDE)), fine)
     # The hash of an empty array is its seed.
     return F.transform(made, lambda h: F.when(h != 42, h))
 

@@ -4,12 +4,14 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lyrascope.llm import i_match, odd_sketch, pfair_mixing
-from tests.llm.data import LOWER, WORD, by_id, documents, frame
+from tests.llm.data import LOWER, WORD, by_id, documents, frame, prose
 
 
 def shingles(text):
@@ -153,6 +155,73 @@ def test_edited_texts_and_likeness(spark):
     assert mean[0] > mean[1]
 
 
+def i_match_of(texts, least, most):
+    """Sets of terms, their band, and a function from a text to its hashes, by plain loops."""
+
+    def terms(text):
+        return set(re.split(r"[\x20\x09-\x0D]+", text.lower())) - {""}
+
+    def drawn(term):
+        raw = term.encode()
+        part = signed(le8(len(i_match.RATES)), raw) % i_match.WIDE
+        bits = [part != j for j in range(i_match.WIDE)]
+        bits += [signed(le8(j), raw) % rate == 0 for j, rate in enumerate(i_match.RATES)]
+        return sum(1 << j for j, taken in enumerate(bits) if taken)
+
+    def le8(number):
+        return number.to_bytes(4, "little")
+
+    def signed(number, raw):
+        made = xxhash.xxh64_intdigest(number, xxhash.xxh64_intdigest(raw, 42))
+        return made - (1 << 64) * (made >> 63)
+
+    count = collections.Counter(t for text in texts for t in terms(text))
+    band = {t: drawn(t) for t, n in count.items() if least * len(texts) <= n <= most * len(texts)}
+
+    def hashes(text):
+        own = sorted((t for t in terms(text) if t in band), key=str.encode)
+        made = []
+        for j in range(i_match.SUBSETS):
+            h, some = 42, False
+            for t in own:
+                if band[t] >> j & 1:
+                    h = xxhash.xxh64_intdigest(t.encode(), h)
+                    h = xxhash.xxh64_intdigest(band[t].to_bytes(8, "little"), h)
+                    some = True
+            made.append(h if some else None)
+        return made
+
+    return hashes
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    rows = {r[0]: r[1] or "" for r in documents() if r[0] is not None and (r[1] or "").isascii()}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = by_id(i_match.fingerprints(docs, 1 / 100, 1 / 2))
+    hashes = i_match_of(rows.values(), 1 / 100, 1 / 2)
+    ids, compared = sorted(rows, reverse=True), 0
+    for k, d in enumerate(ids):
+        text, after = rows[d], rows[ids[(k + 1) % len(ids)]]
+        half = len(text) // 2
+        own, edited, following = map(hashes, (text, text[: len(text) - half] + after[:half], after))
+        if not any(own):
+            continue
+        compared += 1
+        assert got[d]["fingerprint"] == "".join("-" if h is None else f"{h:016x}" for h in own)
+        for other, name in ((edited, "near_edited"), (following, "near_next")):
+            either = [(a, b) for a, b in zip(own, other, strict=True) if a or b]
+            assert math.isclose(got[d][name], sum(a == b for a, b in either) / len(either))
+    assert compared > 60
+
+
+def test_half_edited_texts_are_more_alike_than_neighbours(spark):
+    rows = [(i, prose(1000 + i, 100 + 20 * i)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(i_match.fingerprints(docs, 1 / 100, 1 / 2))
+    alike = [r["near_edited"] > r["near_next"] for r in got.values() if r["n_chars"] > 500]
+    assert len(alike) > 90 and sum(alike) >= 0.95 * len(alike)
+
+
 def test_every_term_of_the_band_reaches_the_fingerprint(spark):
     common = " ".join(f"c{k}" for k in range(40))
     texts = [f"{common} own{i}" for i in range(60)]
