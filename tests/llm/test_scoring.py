@@ -143,3 +143,114 @@ def test_ids_without_a_slot_of_their_own_keep_their_share():
         own = slots.of == shared
         assert own.any() and np.isclose((10.0 ** slots.within[own]).sum(), 1)
     assert (slots.within[slots.of < lm.RARE_START] == 0).all()
+
+
+def rare_pairs():
+    """Slots of 1100 ids, some of them rare, and the pairs of a stream that slots do not tell."""
+    rng = np.random.default_rng(1)
+    ids = np.r_[np.tile(np.arange(1100), 3), rng.integers(0, 1000, 4000)]
+    ids = np.r_[ids, np.tile([1050, 1060, 1070, 3], 20)]
+    counts = np.array([3000, 0, len(ids) - 3000])
+    slots = lm.choose_slots(np.bincount(ids, minlength=1100), np.arange(1100) % 3 == 0)
+    return ids, counts, slots, lm.kinds_of_ids(slots)
+
+
+def test_pairs_of_ids_without_a_slot():
+    ids, counts, slots, kind = rare_pairs()
+    stream, texts = [], np.split(ids, np.cumsum(counts)[:-1])
+    for text in texts:
+        stream += zip([lm.END_ID, *text.tolist()], [*text.tolist(), lm.END_ID], strict=True)
+    has_none = {i for i in range(1100) if slots.of[i] in (lm.RARE_START, lm.RARE)}
+    want = [(i, a, b) for i, (a, b) in enumerate(stream) if a in has_none or b in has_none]
+    place, pair, context = lm.pairs_of_ids(ids, counts, kind)
+    assert list(zip(place.tolist(), (pair >> 16).tolist(), (pair & 0xFFFF).tolist())) == want
+    for (_, a, b), c in zip(want, context.tolist(), strict=True):
+        group = 0 if a in has_none else 1 if slots.of[b] == lm.RARE_START else 2
+        assert c == a * lm.GROUPS + group
+
+
+def counted_pairs(spark):
+    ids, counts, slots, kind = rare_pairs()
+    ends = np.cumsum(counts)
+    rows = [(ids[e - n : e].astype("<u2").tobytes(),) for e, n in zip(ends, counts, strict=True)]
+    texts = spark.createDataFrame(rows, "ids binary").repartition(3)
+    return lm.count_id_pairs(texts, kind)
+
+
+def test_ids_without_a_slot_have_their_own_next_ids(spark):
+    ids, counts, slots, kind = rare_pairs()
+    pairs = lm.frequent_id_pairs(counted_pairs(spark), kind)
+    _, pair, _ = lm.pairs_of_ids(ids, counts, kind)
+    want = collections.Counter(pair.tolist())
+    assert pairs.is_whole
+    assert dict(zip(pairs.pair.tolist(), pairs.n.tolist(), strict=True)) == want
+    by_slot = np.random.default_rng(3).dirichlet(np.ones(lm.SLOTS))
+    # After ids without a slot, and after others, probabilities of all next ids sum to 1.
+    for last, rare in ((1065, True), (1099, True), (4, False), (1017, False)):
+        assert (kind[last] > 0) == rare
+        every = np.arange(1100)
+        p = np.r_[by_slot[slots.of[every]], by_slot[lm.END]]
+        plain = np.log10(p) + np.r_[slots.within, 0]
+        text = np.r_[np.stack([np.full(1100, last), every], 1).ravel(), last]
+        sizes = np.r_[np.full(1100, 2), 1]
+        of_place = np.full(len(text) + len(sizes), 0.5)
+        # The second place of each text is looked at: an id, or the end of the last text.
+        looked = np.cumsum(sizes + 1) - sizes
+        of_place[looked] = p
+        place, _, logs, *_ = pairs.at_places(text, sizes, of_place, slots.within)
+        added = np.zeros(len(of_place))
+        added[place] = logs
+        found = 10 ** (plain + added[looked])
+        assert abs(found.sum() - 1) < 1e-9
+        # What followed every time is likelier than by its share of a slot.
+        if last == 1065:
+            assert found[1066] > 0.4 > 20 * 10 ** plain[1066]
+
+
+def test_pairs_that_are_not_frequent_are_left_over(spark, monkeypatch):
+    ids, counts, slots, kind = rare_pairs()
+    counted = counted_pairs(spark)
+    p = np.random.default_rng(4).uniform(0.001, 0.1, len(ids) + len(counts))
+    whole = lm.frequent_id_pairs(counted, kind)
+    want, left = whole.added(ids, counts, p, slots.within)
+    assert not len(left[0])
+    monkeypatch.setattr(lm, "FREQUENT_PAIRS", 120)
+    few = lm.frequent_id_pairs(counted, kind)
+    assert not few.is_whole and 0 < len(few.pair) < len(whole.pair)
+    got, (text, pair, odds) = few.added(ids, counts, p, slots.within)
+    n = dict(zip(whole.pair.tolist(), whole.n.tolist(), strict=True))
+    for t, key, odd in zip(text.tolist(), pair.tolist(), odds.tolist(), strict=True):
+        got[t] += math.log10(1 + n.get(key, 0) / odd)
+    assert len(text) and np.allclose(got, want, rtol=1e-9)
+
+
+def vocabulary_documents():
+    """Texts with more different ids than there are slots; rare words come in one order.
+
+    The last five texts, which are held out, have rare words in any order.
+    """
+    names = lm.encoder(lm.TOKENIZER).tokenizer.get_vocab(with_added_tokens=True)
+    found = sorted(n[1:] for n in names if n[0] == "Ġ" and n[1:].isascii() and n[1:].islower())
+    rng = np.random.default_rng(2)
+    common, rare = found[:1500], found[1500:2100]
+    texts = [" ".join(rng.choice(common, 200)) for _ in range(80)]
+    texts += [" ".join(rare[at : at + 40]) for at in range(0, 560, 20)]
+    mixed = [" ".join(rng.permutation(rare)[:40]) for _ in range(5)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(2000)}
+    learnt_ids, held_ids = ([i for i in held if held[i] == h] for h in (False, True))
+    rows = [*zip(learnt_ids, texts), *zip(held_ids, mixed)]
+    return [(i, t, "en", "s", len(t)) for i, t in rows]
+
+
+def test_pairs_left_over_are_joined(spark, monkeypatch):
+    rows = vocabulary_documents()
+    want = by_id(lm.score(frame(spark, rows)))
+    monkeypatch.setattr(lm, "FREQUENT_PAIRS", 1500)
+    got = by_id(lm.score(frame(spark, rows)))
+    assert len(want) == len(rows) and got.keys() == want.keys()
+    for d, row in want.items():
+        assert math.isclose(got[d]["score"], row["score"], rel_tol=1e-9)
+    # Rare words in the order that was learnt are likelier than in any other, by far.
+    learnt = [want[d]["score"] / want[d]["n_tokens"] for d, *_ in rows[80:-5]]
+    mixed = [want[d]["score"] / want[d]["n_tokens"] for d, *_ in rows[-5:]]
+    assert min(learnt) > max(mixed) + 1
